@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import batches, raw
+from .util import batches, raw, small_batches
 
 ORDER = 3
 BUCKETS = 1 << 15
@@ -160,6 +160,7 @@ def score(texts: list[bytes], model: LanguageModel) -> tuple[list[str], np.ndarr
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (replaced if there)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{text_col}`").alias("text"))

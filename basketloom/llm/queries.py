@@ -17,6 +17,12 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linededup
+
+    return linededup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urlfilter
 
@@ -46,22 +52,40 @@ FROM judged
 """
 
 
-def token_digests(encoded: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
-    """Digest columns of encoded and decoded documents."""
-    return encoded.select(
+def token_digests(docs: DataFrame, ranks: str) -> DataFrame:
+    """Digest columns of encoded documents, and of the bytes decoded from the ids."""
+    from . import bytebpe
+
+    encoded = bytebpe.encode(docs, ranks).select(
         "doc_id",
+        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    decoded = bytebpe.decode(encoded, ranks, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import bytebpe
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op4_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embdedup
 
-    ranks = public_tokenizers.path(BYTE_RANKS)
-    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks)
-    return token_digests(bytebpe.decode(encoded, ranks, keep=("doc_id", "ids")))
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +105,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lmscore
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("chosen"))
+    models = lmscore.fit(docs.join(good, "doc_id", "left"), F.col("chosen"))
+    return lmscore.score(docs, models)
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ class Scratch:
     """Tables written to the shared folder, so that lineage is cut and survives a lost executor."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
@@ -57,16 +59,21 @@ class Scratch:
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of ``rows`` rows at most, as rows are whole documents here."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+def keyed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> tuple[DataFrame, bool]:
     """Rows with a unique, non-null long ``key`` that sorts as ``id_col`` does (nulls last).
 
     Where the ids are unique integers the id is the key and nothing is moved. Null or repeated ids make the rows
     be sorted by (id, text) and written once, so that the keys stay the same if a task runs again.
-    Returns ``key``, ``id``, ``text`` and, ``with_row``, all columns as struct ``row``.
+    Returns rows with ``key``, ``id``, ``text`` and, ``with_row``, all columns as struct ``row``; and whether ids are keys.
     """
     picked = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")]
     if with_row:
@@ -74,9 +81,9 @@ def keyed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     rows = docs.select(*picked)
     integral = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
     if integral and not rows.groupBy("id").count().where("`count` > 1 or id is null").head(1):
-        return rows.withColumn("key", F.col("id").cast("long"))
+        return rows.withColumn("key", F.col("id").cast("long")), True
     ordered = rows.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id())
-    return scratch.keep(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    return scratch.keep(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed"), False
 
 
 def ranked(df: DataFrame, scratch: Scratch, order: list[str | Column], name: str = "rank") -> DataFrame:
@@ -101,7 +108,7 @@ def ranked(df: DataFrame, scratch: Scratch, order: list[str | Column], name: str
 def batches(stream: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches in slices of about ``most`` bytes of ``column``, one row at least."""
     for batch in stream:
-        sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if total and total + size > most:
