@@ -52,10 +52,11 @@ FROM judged
 """
 
 
-def token_digests(docs: DataFrame, ranks: str) -> DataFrame:
+def token_digests(docs: DataFrame) -> DataFrame:
     """Digest columns of encoded documents, and of the bytes decoded from the ids."""
     from . import bytebpe
 
+    ranks = public_tokenizers.path(BYTE_RANKS)
     encoded = bytebpe.encode(docs, ranks).select(
         "doc_id",
         "ids",
@@ -85,7 +86,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS))
+    return token_digests(table(spark, sf_dir, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +99,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tokenstore, util
+
+    path = util.Scratch(spark, "token-store").path("files")
+    tokenstore.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    out = tokenstore.read(spark, path)
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
