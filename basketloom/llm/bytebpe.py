@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import batches, raw
+from .util import batches, raw, small_batches
 
 LETTER, L_STMD, L_RV, L_E, L_L, NUMBER, BLANK, SPACE, QUOTE, OTHER, END = range(11)
 #: Code points with the Unicode property White_Space. Fixed values.
@@ -166,7 +166,7 @@ def slices(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarra
 class Coder:
     """Ranks, and a cache of the tokens of pieces that is emptied when it grows past ``most`` pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 250_000):
         self.ranks = ranks
         self.most = most
         top = max(ranks.values(), default=-1) + 1
@@ -295,6 +295,7 @@ def _coder(name: str) -> Coder:
 
 
 def _ship(df: DataFrame, path: str) -> str:
+    small_batches(df.sparkSession)
     df.sparkSession.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]
 
@@ -311,7 +312,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(stream):
         coder = _coder(name)
-        for batch in batches(stream, most=2 << 20):
+        for batch in batches(stream, most=1 << 20):
             ids, offsets, counts = coder.encode(raw(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(ids, counts), _lists(offsets, counts)], names=["id", "ids", "offsets"])
 
