@@ -83,7 +83,7 @@ w AS (SELECT k * n + product_id AS walk_id, product_id AS cur, 0 AS step, CAST(p
    CASE WHEN beh THEN coalesce(nb[1 + ((walk_id * 7919 + (w.step + 1) * 104729 + 42) % 1000003) % nullif(nn, 0)], oth[1 + ((walk_id * 7919 + (w.step + 1) * 104729 + 42) % 1000003) % nullif(no, 0)])
         ELSE coalesce(oth[1 + ((walk_id * 7919 + (w.step + 1) * 104729 + 42) % 1000003) % nullif(no, 0)], nb[1 + ((walk_id * 7919 + (w.step + 1) * 104729 + 42) % 1000003) % nullif(nn, 0)]) END AS nxt
   FROM w JOIN node ON node.product_id = cur WHERE w.step < {WALK_LENGTH - 1}) WHERE nxt IS NOT NULL)
-SELECT walk_id, arg_max(walk, step) AS walk, max(step) + 1 AS n FROM w GROUP BY 1 HAVING max(step) > 0""")
+SELECT walk_id, arg_max(walk, step) AS walk, CAST(max(step) + 1 AS BIGINT) AS n FROM w GROUP BY 1 HAVING max(step) > 0""")
 def metapath_walks(s, d):
     return _walk_sentences(s, d).select("walk_id", F.array_join(F.col("items").cast("array<string>"), " ").alias("walk"), F.size("items").cast("long").alias("n"))
 
