@@ -305,7 +305,7 @@ def safe_pool(s, d):
 @query(f"""WITH {FUSED}, {DIM}, pairs AS (SELECT a, b FROM icf WHERE rank <= 10 UNION SELECT a, b FROM i2v WHERE rank <= 10 UNION SELECT a, b FROM kg WHERE rank <= 10)
 SELECT a AS product_a_id, coalesce(x.product_name, 'Unknown(' || a || ')') AS product_a_name, coalesce(x.department, '') AS product_a_dept,
 b AS product_b_id, coalesce(y.product_name, 'Unknown(' || b || ')') AS product_b_name, coalesce(y.department, '') AS product_b_dept
-FROM pairs LEFT JOIN dim x ON x.product_id = a LEFT JOIN dim y ON y.product_id = b WHERE a IN (SELECT product_id FROM items WHERE c >= 10)""")
+FROM pairs LEFT JOIN dim x ON x.product_id = a LEFT JOIN dim y ON y.product_id = b WHERE a IN (SELECT product_id FROM items WHERE c >= 10) AND a IN (SELECT vec_id FROM embeddings)""")
 def survey_samples(s, d):
     return survey.samples(safe_pool(s, d), survey.candidates(models(s, d), 10), dimension(s, d))
 
