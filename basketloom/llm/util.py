@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Read from the session; where it is unset (tests on one machine) a temporary folder is made and set.
+    Read from the session; only where it is unset (tests on one machine) a temporary folder is made, once per application.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="basketloom-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="basketloom-")
+        folder = _OWN[app]
     return folder.rstrip("/")
 
 
