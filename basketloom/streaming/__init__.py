@@ -1,0 +1 @@
+"""Reserved for streaming operators; the batch sources have none to match."""
