@@ -15,12 +15,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: The rules that the url query judges by.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+#: Nodes reachable by links, and the least of them.
+_REACH = "reach AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a), least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY 1)"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
-    return linededup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", "kept_text")
+
+
+OP1_SQL = """
+WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+trimmed AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) AS t FROM cut),
+full_lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM trimmed WHERE t <> ''),
+ahead AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS t2 FROM full_lines),
+copies AS (SELECT doc_id, pos,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id, pos) > 1 AND length(t) - length(replace(t, ' ', '')) + 1 >= 50 AS long_copy,
+    t2 IS NOT NULL AND row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, pos) > 1 AS run_copy FROM ahead),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM copies WHERE long_copy OR run_copy UNION ALL SELECT doc_id, pos + 1 FROM copies WHERE run_copy)),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before <> pos - 1) AS n_runs
+    FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY 1),
+kept AS (SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.i) FILTER (WHERE g.pos IS NULL) AS kept_text, count(f.pos) AS n_lines
+    FROM cut c LEFT JOIN full_lines f ON f.doc_id = c.doc_id AND f.i = c.i LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.pos = f.pos GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+    CASE WHEN n_removed IS NULL THEN d.text WHEN n_removed = n_lines THEN '' ELSE kept_text END AS kept_text
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +74,15 @@ FROM judged
 """
 
 
+OP4_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+linked AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+{_REACH}, counted AS (SELECT a, count(*) AS n FROM linked GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, least(vec_id, coalesce(m, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN counted c ON c.a = vec_id LEFT JOIN least_of o ON o.a = vec_id
+"""
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """Digest columns of encoded documents, and of the bytes decoded from the ids."""
     from . import bytebpe
@@ -73,6 +104,18 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+OP3_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+{_REACH}
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, least(d.doc_id, coalesce(m, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_of ON a = d.doc_id
+"""
+
+
 def op4_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embdedup
 
@@ -130,4 +173,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_minhash": OP3_SQL, "op4_embedding_neighbours": OP4_SQL}
