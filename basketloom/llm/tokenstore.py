@@ -18,6 +18,7 @@ by id (nulls last) and text. An empty table makes an empty store. Other columns
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ CUT_BITS = 9
 LEAST, MOST = 64, 4096
 DIGEST = 16
 SEEN = 200_000
+#: A comma or full stop alone between a letter or digit and white space.
+APART = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n])")
 _BASE = 0x9E3779B97F4A7C55
 
 
@@ -47,10 +50,11 @@ class Words:
     """Ids of white-space separated words by the tokenizers library, through a cache of bounded size.
 
     The vocabulary drops white space and no token crosses it, so a text's ids are those of its words. Words are cut at
-    ASCII white space only; any other stays within its word and is left to the library.
+    ASCII white space only; any other stays within its word and is left to the library. Letters become lower case and
+    no token holds a letter and a comma or full stop, so ASCII capitals and a sign at a word's end make no new word.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,7 +69,7 @@ class Words:
         return self.tokenizer.get_vocab_size()
 
     def reset(self) -> None:
-        self.cache: dict[bytes, int] = {}
+        self.cache = _Numbers()
         self.pool = np.zeros(0, dtype=np.uint32)
         self.first = np.zeros(1, dtype=np.int64)
 
@@ -73,25 +77,41 @@ class Words:
         """Ids of each text, ended by ``END``."""
         if len(self.cache) > self.most:
             self.reset()
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words} - self.cache.keys())
+        number = self.cache.__getitem__
+        counts, found = [0], []
+        for text in texts:
+            found += map(number, APART.sub(rb" \1", text.lower()).split())
+            counts.append(len(found))
+        new = self.cache.take_new()
         if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            n = len(self.cache)
-            self.cache.update(zip(new, range(n, n + len(new))))
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
             self.pool = np.concatenate((self.pool, np.array([i for x in ids for i in x], dtype=np.uint32)))
             self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(x) for x in ids])))
-        get = self.cache.__getitem__
-        index = np.array([i for words in split for i in map(get, words)], dtype=np.int64)
+        index = np.array(found, dtype=np.int64)
         size = self.first[index + 1] - self.first[index] if len(index) else index
         take = np.repeat(self.first[index] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         flat = self.pool[take]
-        ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum([len(w) for w in split])))].astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(size)))[counts].astype(np.int64)
         stop = np.uint32([END])
         return [np.concatenate((flat[a:b], stop)) for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
+class _Numbers(dict):
+    """Numbers words as they are first met."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+    def take_new(self) -> list[bytes]:
+        new, self.new = self.new, []
+        return new
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one id stream."""
     n = len(ids)
