@@ -4,11 +4,12 @@ A document's set holds its distinct shingles of ``width`` words (see ``words``)
 two permutations of the 32-bit universe only: the first scatters the shingles, the second, shifted circularly by k,
 gives the k-th coordinate. ``rows_per_band`` coordinates make a band; sets that share a band are candidates.
 
-Equal sets are one class, represented by its first document, so copies are never paired. In each round every bucket
-whose members are not yet in one component elects leaders (1, then 4, then 16, ...), preferring small components, and
-compares them with the members of other components on the full sets. A leader that has been compared leaves the
-bucket. The rounds end when every bucket lies in one component, so no link between candidates is lost although a
-group's pairs are never listed.
+Equal sets are one class, represented by its first document, so copies are never paired. Candidates that hang together
+through shared bands form a family. Families are packed into tiles of bounded size; tiles are compared on the full
+sets inside a task, which emits a forest of the links it finds and never their pairs. At first each tile is compared
+with itself and with its family's first tile. Where a family of several tiles is then not yet one component, all its
+members outside its largest component are packed anew and compared with each other and with that component, so every
+pair of candidates is compared or known to be in one component, and no link is lost.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and kept. Null or repeated ids are
 rows of their own, ordered by id (nulls last) and text; a component's id is that of its first row. Other columns are
@@ -116,39 +117,143 @@ def group(rows: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int =
     members = scratch.keep(signed.select("key", "id", "n", "print").join(classes, "print", "left").select("key", "id", "n", F.coalesce("rep", "key").alias("rep")), "members")
     banded = signed.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").select(F.col("key").alias("rep"), "n", F.explode("bands").alias("bucket"))
     banded = scratch.keep(banded, "banded")
-    shared = scratch.keep(banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
-    alive = scratch.keep(banded.join(shared, "bucket"), "alive")
+    shared = scratch.keep(banded.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("a")).where("c > 1").select("bucket", "a"), "shared")
+    stars = banded.join(shared, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    family = scratch.keep(components(stars, scratch).toDF("rep", "family"), "families")
     scratch.drop(signed, banded, shared)
-    labels = scratch.keep(alive.select("rep").distinct().select("rep", F.col("rep").alias("comp"), F.lit(1).cast("long").alias("size")), "labels")
-    wanted = labels.select(F.col("rep").alias("key"))
-    sets = scratch.keep(rows.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(_sets(width), "rep long, members array<long>"), "sets")
-    leaders_per_bucket, turn = 1, 0
+    wanted = family.select(F.col("rep").alias("key"))
+    sets = scratch.keep(rows.select("key", "text").join(wanted.hint("merge"), "key", "left_semi").mapInArrow(_sets(width), "rep long, members array<long>"), "sets")
+    known = scratch.keep(family.join(sets, "rep").select("family", "rep", F.size("members").cast("long").alias("n")), "known")
+    held = scratch.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    scratch.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        links = _first_links(known, sets, percent, scratch)
+        more = _other_links(known, sets, links, percent, scratch)
+    finally:
+        scratch.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    labels = scratch.keep(components(links if more is None else links.union(more), scratch).toDF("rep", "comp"), "labels")
+    scratch.drop(sets, family, known)
+    return members.join(labels, "rep", "left").select("key", "id", "n", F.coalesce("comp", "rep").alias("component"))
+
+
+#: Shingles in a tile, about, and sets.
+TILE_SHINGLES, TILE_SETS = 100_000, 400
+
+
+def _tiles(placed: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
+    """Members of each group ``by`` with their sets as lists ``tile`` of bounded size, numbered ``slot``."""
+    sizes = placed.groupBy(*by).agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
+    slots = F.greatest(F.ceil(F.col("shingles") / TILE_SHINGLES), F.ceil(F.col("sets") / TILE_SETS))
+    dealt = placed.join(sizes.select(*by, slots.alias("slots")), by).select(*by, "slots", F.pmod(F.xxhash64("rep"), F.col("slots")).alias("slot"), "rep")
+    return dealt.join(sets, "rep").groupBy(*by, "slots", "slot").agg(F.collect_list(F.struct("rep", "members")).alias("tile"))
+
+
+def _first_links(known: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links within each tile, and between each tile and the first of its family."""
+    tiles = scratch.keep(_tiles(known, sets, ["family"]), "tiles")
+    many = tiles.where("slots > 1").select("family", "slot", "tile")
+    first = many.groupBy("family").agg(F.min("slot").alias("pivot"))
+    pivots = many.join(first, "family").where("slot = pivot").select("family", "pivot", F.col("tile").alias("other"))
+    crossed = many.join(pivots, "family").where("slot <> pivot").select("tile", "other")
+    none = F.lit(None).cast(tiles.schema["tile"].dataType)
+    work = tiles.select("tile", none.alias("other")).union(crossed)
+    out = scratch.keep(work.mapInArrow(_compare(percent), "a long, b long"), "links")
+    scratch.drop(tiles)
+    return out
+
+
+def _other_links(known: DataFrame, sets: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links of members outside the largest component of families of several tiles."""
+    sizes = known.groupBy("family").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
+    large = scratch.keep(sizes.where(f"shingles > {TILE_SHINGLES} or sets > {TILE_SETS}").select("family"), "large")
+    if not large.head(1):
+        return None
+    labels = components(links, scratch).toDF("rep", "comp")
+    now = scratch.keep(known.join(large, "family").join(labels, "rep", "left").select("family", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "labelled")
+    counts = now.groupBy("family", "comp").agg(F.count("*").alias("c"))
+    main = scratch.keep(counts.groupBy("family").agg(F.max(F.struct("c", "comp")).alias("x")).select("family", F.col("x.comp").alias("main")), "main")
+    placed = scratch.keep(now.join(main, "family").select("family", (F.col("comp") == F.col("main")).alias("inside"), "rep", "n"), "placed")
+    tiles = scratch.keep(_tiles(placed, sets, ["family", "inside"]).select("family", "inside", "slot", "tile"), "tiles")
+    rest = tiles.where("not inside").select("family", F.col("slot").alias("own"), F.col("tile").alias("other"))
+    pairs = tiles.join(rest, "family").where("inside or slot < own").select("tile", "other")
+    none = F.lit(None).cast(tiles.schema["tile"].dataType)
+    work = pairs.union(tiles.where("not inside").select("tile", none.alias("other")))
+    out = scratch.keep(work.mapInArrow(_compare(percent), "a long, b long"), "more-links")
+    scratch.drop(tiles, placed, main, now, large)
+    return out
+
+
+def common_sizes(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``."""
+    names = np.concatenate(a + b)
+    owner = np.concatenate((np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])))
+    right = np.arange(len(names)) >= sum(len(x) for x in a)
+    _, column = np.unique(names, return_inverse=True)
+    width = int(column.max()) + 1
+    in_a, in_b = np.bincount(column[~right], minlength=width), np.bincount(column[right], minlength=width)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    shared = np.flatnonzero((in_a > 0) & (in_b > 0))
+    place = np.full(width, -1)
+    place[shared] = np.arange(len(shared))
+    at, left = place[column], ~right
+    for start in range(0, len(shared), 2048):
+        stop = min(start + 2048, len(shared))
+        use = (at >= start) & (at < stop)
+        x, y = np.zeros((len(a), stop - start), np.float32), np.zeros((len(b), stop - start), np.float32)
+        x[owner[use & left], at[use & left] - start] = 1
+        y[owner[use & right], at[use & right] - start] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _compare(percent: int):
+    def unpack(tile):
+        keys = tile.field("rep").to_numpy(zero_copy_only=False)
+        lists = tile.field("members")
+        ends = lists.offsets.to_numpy()
+        values = lists.values.to_numpy(zero_copy_only=False)
+        return keys, [values[x:y] for x, y in zip(ends[:-1], ends[1:])]
+
+    def run(stream):
+        for batch in stream:
+            for r in range(batch.num_rows):
+                ka, a = unpack(batch.column("tile")[r].values)
+                same = not batch.column("other")[r].is_valid
+                kb, b = (ka, a) if same else unpack(batch.column("other")[r].values)
+                na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+                common = common_sizes(a, b)
+                linked = 100 * common >= percent * (na[:, None] + nb[None, :] - common)
+                if same:
+                    linked = np.triu(linked, 1)
+                i, j = np.nonzero(linked)
+                if len(i):
+                    names = np.concatenate((ka, kb))
+                    label = spanning(len(a), len(b), i, j, same)
+                    off = names != names[label]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[off]), pa.array(names[label][off])], names=["a", "b"])
+
+    return run
+
+
+def spanning(n: int, m: int, i: np.ndarray, j: np.ndarray, same: bool = False) -> np.ndarray:
+    """For ``n`` rows and ``m`` columns (counted on from ``n``) linked at (i, j), i ascending: the least place that
+    each is connected with, by passes of least labels; ``same``: columns are the rows."""
+    label = np.arange(n + m)
+    if same:
+        label[n:] = label[:n]
+    order = np.argsort(j, kind="stable")
+    rows, row_at = np.unique(i, return_index=True)
+    cols, col_at = np.unique(j[order], return_index=True)
     while True:
-        current = alive.join(labels, "rep") if turn else alive.withColumn("comp", F.col("rep")).withColumn("size", F.lit(1).cast("long"))
-        open_ = scratch.keep(current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "open")
-        current = scratch.keep(current.join(open_, "bucket"), "current")
-        if not current.head(1):
-            break
-        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(leaders_per_bucket))
-        leaders = current.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("size", "rep", "comp", "n")).alias("x"))
-        leaders = scratch.keep(leaders.select("bucket", F.col("x.rep").alias("lead"), F.col("x.comp").alias("lead_comp"), F.col("x.n").alias("lead_n")), "leaders")
-        met = current.join(leaders, "bucket").where(f"comp <> lead_comp and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
-        pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("sb")), "b")
-        both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-        links = scratch.keep(both.where(f"100L * common >= {percent}L * (sum - common)").select("a", "b"), "links")
-        follow = labels.select("rep", "comp")
-        joined = links.join(follow.toDF("a", "ca"), "a").join(follow.toDF("b", "cb"), "b").select("ca", "cb")
-        moved = components(joined, scratch, "ca", "cb").toDF("comp", "to")
-        renamed = scratch.keep(labels.select("rep", "comp").join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "renamed")
-        sizes = scratch.keep(renamed.groupBy("comp").agg(F.count("*").alias("size")), "sizes")
-        fresh = scratch.keep(renamed.join(sizes, "comp").select("rep", "comp", "size"), "labels")
-        left = scratch.keep(current.select("bucket", "rep", "n").join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti"), "alive")
-        scratch.drop(alive, labels, open_, current, leaders, links, renamed, sizes)
-        alive, labels = left, fresh
-        leaders_per_bucket, turn = leaders_per_bucket * 4, turn + 1
-    scratch.drop(sets, alive)
-    return members.join(labels.select("rep", "comp"), "rep", "left").select("key", "id", "n", F.coalesce("comp", "rep").alias("component"))
+        new = label.copy()
+        new[rows] = np.minimum(new[rows], np.minimum.reduceat(new[n + j], row_at))
+        new[n + cols] = np.minimum(new[n + cols], np.minimum.reduceat(new[i[order]], col_at))
+        if same:
+            new[:n] = new[n:] = np.minimum(new[:n], new[n:])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -169,4 +274,4 @@ def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     rows, _ = keyed(docs, scratch, id_col, text_col, with_row=True)
     out = group(rows.select("key", "id", "text"), scratch, width, percent, **how)
     gone = scratch.keep(out.where("key <> component").select("key"), "gone")
-    return rows.join(gone, "key", "left_anti").select("row.*")
+    return rows.join(gone.hint("merge"), "key", "left_anti").select("row.*")

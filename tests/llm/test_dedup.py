@@ -108,8 +108,9 @@ def minhash_words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_duplicates_against_brute_force(spark, width):
+@pytest.mark.parametrize("width, tile", [(4, 400), (5, 3)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, width, tile):
+    monkeypatch.setattr(minhash, "TILE_SETS", tile)
     rng = random.Random(width)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(60)] for _ in range(4)]
     rows = []
