@@ -163,8 +163,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("chosen"))
-    models = lmscore.fit(docs.join(good.hint("merge"), "doc_id", "left"), F.col("chosen"))
-    return lmscore.score(docs, models)
+    marked = docs.join(good.hint("merge"), "doc_id", "left")
+    return lmscore.score(marked, lmscore.fit(marked, F.col("chosen"), text_bytes=lmscore.length(docs)))
 
 
 def queries() -> dict:

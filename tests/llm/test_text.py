@@ -178,6 +178,35 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert lmscore.score(df.where("false"), lmscore.fit(df.where("false"), F.lit(True))).count() == 0
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_scores_of_many_words_are_those_of_exact_ngrams(spark, monkeypatch, apart):
+    monkeypatch.setattr(lmscore, "WORDS", 100)
+    rng = random.Random(5)
+    # 6,000 words: tables of 2 ** 18 and 2 ** 20 classes would have some of them and of their pairs share counts
+    texts = [" ".join(f"w{rng.randint(0, 5999)}" for _ in range(400)) for _ in range(150)] + [None, "", "w1 " * 500]
+    split = [(t or "").split() for t in texts]
+    df = table(spark, texts)
+    scored = df.where("doc_id % 2 = 0").unionByName(df.where("doc_id = 1").withColumn("text", F.lit("w1 never seen w2"))) if apart else df
+    if apart:
+        split[1] = "w1 never seen w2".split()
+    got = {r.doc_id: r for r in lmscore.score(scored, lmscore.fit(df, F.col("doc_id") % 3 == 0)).collect()}
+    models = []
+    for use in (lambda i: i % 3 == 0, lambda i: True):
+        cw, ch, cp = Counter(), Counter(), Counter()
+        for i, t in enumerate(texts):
+            if use(i):
+                words = (t or "").split()
+                cw.update(words), ch.update([None, *words][: len(words)]), cp.update(zip([None, *words], words))
+        models.append((cw, ch, cp))
+    size = len(models[1][0])
+    assert size > 5900 and len(got) == (78 if apart else 153)
+    for i, r in got.items():
+        assert r.n_tokens == len(split[i])
+        for (cw, ch, cp), loss in zip(models, (r.target_loss, r.background_loss)):
+            prob = [(cp[h, w] + 2.0 * (cw[w] + 1) / (cw.total() + size)) / (ch[h] + 2.0) for h, w in zip([None, *split[i]], split[i])]
+            assert loss == (pytest.approx(-sum(map(math.log, prob)) / len(prob), rel=1e-9) if prob else None)
+
+
 # ------------------------------------------------------------------ encoding
 
 
