@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions.scores import norm
 from ..operators import baskets, catalog, content, embed, evaluate, fusion, graph, itemcf, maintenance, survey
 from .catalogue import (
@@ -64,10 +65,10 @@ def semantic_starts(s, d):
     return graph.semantic_starts(dimension(s, d))
 
 
-def _walk_sentences(s, d, length: int = WALK_LENGTH) -> DataFrame:
+def _walk_sentences(s, d, num: int = NUM_WALKS, length: int = WALK_LENGTH) -> DataFrame:
     dim = dimension(s, d)
     starts = graph.semantic_starts(dim).select(F.col("product_id").alias("idx"), F.col("product_id").alias("node"))
-    return graph.walks(starts, graph.adjacency(edges(s, d)), dim, NUM_WALKS, length)
+    return graph.walks(starts, graph.adjacency(edges(s, d)), dim, num, length)
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {DIM},
@@ -121,25 +122,23 @@ def embedding_norms(s, d):
 
 
 def _trained(sentences: DataFrame, window: int, min_count: int) -> DataFrame:
-    return embed.word2vec(sentences, dim=16, window=window, min_count=min_count, partitions=4)
+    return embed.word2vec(sentences, dim=DEFAULT.item2vec_dim, window=window, min_count=min_count, epochs=DEFAULT.epochs, partitions=4)
 
 
 @query()
 def item2vec_vectors(s, d):
-    v = _trained(baskets.sentences(part_lines(s, d)), 5, 10)
-    return v.select("id", F.size("vec").alias("dim"))
+    return _trained(baskets.sentences(part_lines(s, d)), DEFAULT.item2vec_window, DEFAULT.item2vec_min_count)
 
 
 @query()
 def item2vec_topk(s, d):
-    v = _trained(baskets.sentences(part_lines(s, d)), 5, 10)
+    v = item2vec_vectors(s, d)
     return embed.cosine_top_k(v.where("id % 20 = 0"), v, 10, positive=False)
 
 
 @query()
 def kg_embeddings(s, d):
-    v = _trained(_walk_sentences(s, d), 10, 1)
-    return v.select("id", F.size("vec").alias("dim"))
+    return _trained(_walk_sentences(s, d, DEFAULT.num_walks, DEFAULT.walk_length), DEFAULT.walk_window, 1)
 
 
 # ---------------------------------------------------------------- fusion
