@@ -146,7 +146,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokenstore, util
 
     path = util.Scratch(spark, "token-store").path("files")
-    tokenstore.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    tokenstore.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), added=True)
     out = tokenstore.read(spark, path)
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -52,9 +52,11 @@ class Words:
     The vocabulary drops white space and no token crosses it, so a text's ids are those of its words. Words are cut at
     ASCII white space only; any other stays within its word and is left to the library. Letters become lower case and
     no token holds a letter and a comma or full stop, so ASCII capitals and a sign at a word's end make no new word.
+    With ``added``, the exact text of an added token is cut out before that and becomes the token's id, as the library
+    does by default; without, it is encoded like any other text.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 700_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,6 +64,11 @@ class Words:
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        tokens = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in self.tokenizer.get_added_tokens_decoder().values() if added):
+            raise ValueError("an added token is not found by its exact text alone")
+        self.added = tokens
+        self.find_added = re.compile(b"(" + b"|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + b")")
         self.reset()
 
     @property
@@ -80,11 +87,17 @@ class Words:
         number = self.cache.__getitem__
         counts, found = [0], []
         for text in texts:
-            found += map(number, APART.sub(rb" \1", text.lower()).split())
+            if any(t in text for t in self.added):
+                for at, part in enumerate(self.find_added.split(text)):
+                    # a blank before it marks an added token, as no word holds one
+                    found += [number(b" " + part)] if at % 2 else map(number, APART.sub(rb" \1", part.lower()).split())
+            else:
+                found += map(number, APART.sub(rb" \1", text.lower()).split())
             counts.append(len(found))
         new = self.cache.take_new()
         if new:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            plain = iter(self.tokenizer.encode_batch_fast([w.decode() for w in new if w[:1] != b" "], add_special_tokens=False))
+            ids = [[self.added[w[1:]]] if w[:1] == b" " else next(plain).ids for w in new]
             self.pool = np.concatenate((self.pool, np.array([i for x in ids for i in x], dtype=np.uint32)))
             self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(x) for x in ids])))
         index = np.array(found, dtype=np.int64)
@@ -148,14 +161,14 @@ def leaf(n_tokens: int, digests: list[bytes]) -> bytes:
 _MADE: dict = {}
 
 
-def _words(name: str) -> Words:
-    if _MADE.get("name") != name:
-        _MADE.update(name=name, words=Words(SparkFiles.get(name)))
+def _words(name: str, added: bool) -> Words:
+    if _MADE.get("name") != (name, added):
+        _MADE.update(name=(name, added), words=Words(SparkFiles.get(name), added=added))
     return _MADE["words"]
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode ``docs`` and write the store to the folder ``path``."""
+def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> None:
+    """Encode ``docs`` and write the store to the folder ``path``; ``added`` as in ``Words``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "store")
     rows, _ = keyed(docs, scratch, id_col, text_col)
@@ -166,7 +179,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     chunk = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
 
     def cut(stream):
-        words = _words(name)
+        words = _words(name, added)
         width = 2 if words.size <= 1 << 16 else 4
         pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         seen: set[bytes] = set()

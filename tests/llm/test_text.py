@@ -269,6 +269,18 @@ def test_store_round_trip(spark):
         tokenstore.verify(spark, path)
 
 
+def test_store_query_agrees_with_the_library_as_loaded(spark, tmp_path):
+    t = Tokenizer.from_file(WORDS)
+    texts = ["see <|endoftext|> here <|startoftext|>", "A<|endoftext|>b <|ENDOFTEXT|> <|endOfText|>", "x,<|endoftext|><|endoftext|>, y.<|startoftext|>", "<|endoftext", "É<|startoftext|>\u0301a 'S", *TRICKY]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for r in queries.op8_token_store(spark, str(tmp_path)).orderBy("doc_id").collect():
+        ids = np.array(t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), texts[r.doc_id]
+        start += len(ids)
+    assert start > len(texts)
+
+
 def test_store_of_nothing(spark):
     path = util.Scratch(spark, "t").path("store")
     tokenstore.write(table(spark, ["x"]).where("false"), path, WORDS)
