@@ -5,11 +5,14 @@ passages are cut alike wherever they stand. A chunk is named by the digest of it
 recipe lists the digests of its chunks. Files under the store's folder, all written by Spark's writers:
 
     chunks/    digest, n, payload (ids of ``width`` bytes each, little-endian, as one zstd frame)
-    recipes/   part, key, id, n_tokens, local (ids before it in its part), digests, leaf; parts in ascending key order
-    manifest/  part, n_docs, n_tokens, start, root; the root of each part's Merkle tree, and part -1 with the whole's
+    recipes/   part, at (place in its part), key, id, n_tokens, local (ids before it in its part), digests; parts in
+               ascending key order
+    manifest/  part, n_docs, n_tokens, start, width, root; the root of each part's Merkle tree, and part -1 with the whole's
 
-Reading joins recipes with chunks, checks every chunk against its digest, every document against its length and the
-parts against the manifest, and fails on any difference. Only digests and payloads of distinct chunks are shuffled.
+The Merkle trees have ``FAN`` children a node, so a level is one grouping of narrow rows and no task holds a part.
+Reading joins recipes with chunks, checks every chunk against its digest, every document against its length, the
+parts and the number of documents against the manifest, and fails on any difference or missing chunk. Only digests and
+payloads of distinct chunks are shuffled.
 
 Defined cases: a null or empty text is stored as ``END`` alone. Null or repeated ids are documents of their own, ordered
 by id (nulls last) and text. An empty table makes an empty store. Other columns are not stored.
@@ -18,18 +21,18 @@ by id (nulls last) and text. An empty table makes an empty store. Other columns
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .util import Scratch, batches, keyed, partitions_for, raw
-from .words import mix, powers
+from .words import GAP, mix, powers
 
 END = 2
 WINDOW = 16
@@ -37,172 +40,272 @@ CUT_BITS = 9
 LEAST, MOST = 64, 4096
 DIGEST = 16
 SEEN = 200_000
-#: A comma or full stop alone between a letter or digit and white space.
-APART = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n])")
+#: Children of a node of the Merkle trees.
+FAN = 1024
+#: Words joined to one text for the library.
+JOINED = 256
 _BASE = 0x9E3779B97F4A7C55
+_LETTER = "a-zß-öø-ÿ"
+#: A word that normalising only brings to lower case and whose pieces are found by class alone.
+EASY = re.compile(f"[{_LETTER}A-ZÀ-ÖØ-Þ!-&(-@\\[-`{{-~]+")
+PIECES = re.compile(f"[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+#: What the vocabulary must do to a text before merging for words to be encoded one by one.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
-class Words:
-    """Ids of white-space separated words by the tokenizers library, through a cache of bounded size.
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
 
-    The vocabulary drops white space and no token crosses it, so a text's ids are those of its words. Words are cut at
-    ASCII white space only; any other stays within its word and is left to the library. Letters become lower case and
-    no token holds a letter and a comma or full stop, so ASCII capitals and a sign at a word's end make no new word.
-    With ``added``, the exact text of an added token is cut out before that and becomes the token's id, as the library
-    does by default; without, it is encoded like any other text.
+class Words:
+    """Ids of texts by the tokenizers library, through a cache of white-space separated words.
+
+    The vocabulary drops white space and no token crosses it, so a text's ids are those of its words; words are cut at
+    ASCII white space only, any other stays within its word and is left to the library. The exact text of an added
+    token is cut out first and becomes the token's id, as the library does. Texts are brought to lower case and signs
+    at a word's end cut off where that changes no id, so that fewer words differ. Of the words not met yet, those that
+    need no normalising (Latin-1 letters, digits and signs but the apostrophe) are cut into pieces here and merged by
+    the library's model, many at a time; a piece ends with the token that holds the vocabulary's mark of a word's end.
+    All others go through the whole library. A vocabulary that prepares texts in another way is given whole texts.
     """
 
-    def __init__(self, path: str, most: int = 700_000, added: bool = False):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
         self.most = most
-        tokens = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
-        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in self.tokenizer.get_added_tokens_decoder().values() if added):
-            raise ValueError("an added token is not found by its exact text alone")
-        self.added = tokens
-        self.find_added = re.compile(b"(" + b"|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + b")")
-        self.reset()
-
-    @property
-    def size(self) -> int:
-        return self.tokenizer.get_vocab_size()
-
-    def reset(self) -> None:
-        self.cache = _Numbers()
-        self.pool = np.zeros(0, dtype=np.uint32)
-        self.first = np.zeros(1, dtype=np.int64)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text, ended by ``END``."""
+        with open(path, encoding="utf-8") as lines:
+            spec = json.load(lines)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        self.by_word = self._as_assumed(spec)
+        if not self.by_word:
+            return
+        # no word holds an added token's text but by lower case, and then it is a word like any other
+        self.tokenizer.encode_special_tokens = True
+        added = sorted({t["content"].encode(): t["id"] for t in spec["added_tokens"]}.items(), key=lambda x: -len(x[0]))
+        self.added = [name for name, _ in added]
+        self.find_added = re.compile(b"|".join(map(re.escape, self.added)))
+        # bytes that no UTF-8 text holds stand for the end of a text and for added tokens
+        self.marks = {name: b" \xfe%d " % i for i, name in enumerate(self.added)}
+        self.stop = int(np.iinfo(self.kind).max)
+        self.fixed = {b"\xff": self._bytes([self.stop])} | {self.marks[name].strip(): self._bytes([i]) for name, i in added}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+        self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.letters = str.maketrans({b: c for b, c in _byte_letters().items() if b != 32})
+        self.cache = dict(self.fixed)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    @staticmethod
+    def _as_assumed(spec: dict) -> bool:
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        model = spec["model"]
+        return (
+            (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and len(steps) == 2
+            and steps[0] == {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+            and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False)
+            and model["type"] == "BPE"
+            and bool(model["end_of_word_suffix"])
+            and model["dropout"] is None
+            and bool(spec["added_tokens"])
+            and all(t["special"] and t["content"].isascii() and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+        )
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each ended by ``END``, and their numbers."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.by_word:
+            lists = [e.ids + [END] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.array([i for x in lists for i in x], dtype=np.uint32), np.array([len(x) for x in lists], dtype=np.int64)
         if len(self.cache) > self.most:
-            self.reset()
-        number = self.cache.__getitem__
-        counts, found = [0], []
-        for text in texts:
-            if any(t in text for t in self.added):
-                for at, part in enumerate(self.find_added.split(text)):
-                    # a blank before it marks an added token, as no word holds one
-                    found += [number(b" " + part)] if at % 2 else map(number, APART.sub(rb" \1", part.lower()).split())
+            self.cache = dict(self.fixed)
+        joined = b" \xff\n".join(texts) + b" \xff"
+        if any(name in joined for name in self.added):
+            joined = self.find_added.sub(lambda m: self.marks[m[0]], joined)
+        # a capital and a combining mark may have a composed form in lower case only; all such marks begin so
+        if b"\xcc" not in joined and b"\xcd" not in joined:
+            joined = joined.lower()
+        index, met = _distinct(_apart(joined))
+        known = self.cache
+        self._learn([w for w in met if w not in known])
+        parts = [known[w] for w in met]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        first = np.cumsum(size) - size
+        size = size[index]
+        take = np.repeat(first[index] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        ids = np.frombuffer(b"".join(parts), dtype=self.kind)[take].astype(np.uint32)
+        stops = np.flatnonzero(ids == self.stop)
+        ids[stops] = END
+        return ids, np.diff(stops, prepend=-1)
+
+    def _learn(self, new: list[bytes]) -> None:
+        # by what is encoded, so that words which differ in case alone are encoded once
+        easy: dict[str, list[bytes]] = {}
+        hard: dict[str, list[bytes]] = {}
+        plain = [w for w in new if w.isalpha()]
+        self.cache.update(zip(plain, self._merged([w.lower().decode() for w in plain], None)))
+        for word in new:
+            if word.isalpha():
+                continue
+            name = word.decode()
+            if EASY.fullmatch(name):
+                easy.setdefault(name.lower(), []).append(word)
             else:
-                found += map(number, APART.sub(rb" \1", text.lower()).split())
-            counts.append(len(found))
-        new = self.cache.take_new()
-        if new:
-            plain = iter(self.tokenizer.encode_batch_fast([w.decode() for w in new if w[:1] != b" "], add_special_tokens=False))
-            ids = [[self.added[w[1:]]] if w[:1] == b" " else next(plain).ids for w in new]
-            self.pool = np.concatenate((self.pool, np.array([i for x in ids for i in x], dtype=np.uint32)))
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(x) for x in ids])))
-        index = np.array(found, dtype=np.int64)
-        size = self.first[index + 1] - self.first[index] if len(index) else index
-        take = np.repeat(self.first[index] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        flat = self.pool[take]
-        ends = np.concatenate(([0], np.cumsum(size)))[counts].astype(np.int64)
-        stop = np.uint32([END])
-        return [np.concatenate((flat[a:b], stop)) for a, b in zip(ends.tolist(), ends[1:].tolist())]
-
-
-class _Numbers(dict):
-    """Numbers words as they are first met."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = n = len(self)
-        return n
-
-    def take_new(self) -> list[bytes]:
-        new, self.new = self.new, []
-        return new
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
+                hard.setdefault(name, []).append(word)
+        found = self.tokenizer.encode_batch_fast(list(hard), add_special_tokens=False) if hard else []
+        for names, ids in (*zip(hard.values(), [self._bytes(e.ids) for e in found]), *zip(easy.values(), self._merged(list(easy), PIECES))):
+            for word in names:
+                self.cache[word] = ids
+
+    def _merged(self, words: list[str], pieces: re.Pattern | None) -> list[bytes]:
+        """Ids of lower-case words of ``pieces``, or of one piece each."""
+        out: list[bytes] = []
+        width = self.kind.itemsize
+        for start in range(0, len(words), JOINED):
+            some = words[start : start + JOINED]
+            last = np.arange(len(some))
+            if pieces:
+                cut = [pieces.findall(w) for w in some]
+                last = np.cumsum([len(x) for x in cut]) - 1
+                some = [" ".join(x) for x in cut]
+            text = " ".join(some)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+            last = (np.flatnonzero(self.ends[ids])[last] + 1) * width
+            data, before = ids.tobytes(), 0
+            if last[-1] != len(data):
+                raise ValueError("pieces and their last tokens differ in number")
+            for end in last.tolist():
+                out.append(data[before:end])
+                before = end
+        return out
+
+
+def _apart(joined: bytes) -> np.ndarray:
+    """The bytes with a blank before each comma or full stop between an ASCII or a common letter, or a digit, and white
+    space: no token holds both the letter and the sign."""
+    x = np.frombuffer(joined, np.uint8)
+    sign = np.flatnonzero((x == 44) | (x == 46))
+    sign = sign[(sign > 1) & (sign < len(x) - 1)]
+    sign = sign[(x[sign + 1] == 32) | (x[sign + 1] == 10)]
+    before, lead = x[sign - 1], x[sign - 2]
+    # after the lead byte 0xC3 come the letters from 0xA0 on, but for one sign
+    letter = _ALNUM[before] | ((lead == 0xC3) & (before >= 0xA0) & (before != 0xB7))
+    sign = sign[letter]
+    out = np.full(len(x) + len(sign), 32, dtype=np.uint8)
+    place = np.ones(len(out), dtype=bool)
+    place[sign + np.arange(len(sign))] = False
+    out[place] = x
+    return out
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The words of a text as places in the list of its distinct words, and that list."""
+    full = ~GAP[x]
+    edge = np.flatnonzero(full[1:] != full[:-1]) + 1
+    if full[0]:
+        edge = np.concatenate(([0], edge))
+    if full[-1]:
+        edge = np.concatenate((edge, [len(x)]))
+    offsets = np.concatenate(([0], np.cumsum(edge[1::2] - edge[::2]))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(x[full])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+
+
+def cuts(ids: np.ndarray, counts: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Ends of the chunks of id streams that stand one after another, and the number of chunks of each stream."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(ids.astype(np.uint64)) * powers(_BASE, n))))
-        rolling = mix((total[WINDOW:] - total[:-WINDOW]) * powers(pow(_BASE, -1, 1 << 64), n + 1)[: n + 1 - WINDOW])
-    ends, last = [], 0
-    for end in (np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + WINDOW).tolist() + [n]:
-        while end - last > MOST:
-            last += MOST
-            ends.append(last)
-        if end - last >= LEAST or end == n and end > last:
-            ends.append(end)
-            last = end
-    return ends
+        rolling = mix((total[WINDOW:] - total[:-WINDOW]) * powers(pow(_BASE, -1, 1 << 64), n + 1)[: max(n + 1 - WINDOW, 0)])
+    found = np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + WINDOW
+    stops = np.cumsum(counts)
+    upto = np.searchsorted(found, stops).tolist()
+    found, ends, chunks, first = found.tolist(), [], [], 0
+    for stop, size, k in zip(stops.tolist(), counts.tolist(), upto):
+        before, last = len(ends), stop - size
+        # a window that reaches into the stream before ends within LEAST ids and cuts nothing
+        for end in found[first:k] + [stop]:
+            while end - last > MOST:
+                last += MOST
+                ends.append(last)
+            if end - last >= LEAST or end == stop and end > last:
+                ends.append(end)
+                last = end
+        first = k
+        chunks.append(len(ends) - before)
+    return ends, np.array(chunks, dtype=np.int64)
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Root of the binary tree over ``leaves``; an odd one out goes up as it is."""
-    if not leaves:
-        return digest(b"")
-    while len(leaves) > 1:
-        paired = [digest(b"\x01" + a + b) for a, b in zip(leaves[::2], leaves[1::2])]
-        leaves = paired + ([leaves[-1]] if len(leaves) % 2 else [])
-    return leaves[0]
+_MADE: dict = {}
 
 
-def leaf(n_tokens: int, digests: list[bytes]) -> bytes:
-    return digest(b"\x00" + n_tokens.to_bytes(8, "little") + b"".join(digests))
+def _words(name: str) -> Words:
+    """One per Python worker; the vocabulary file comes with the job."""
+    if _MADE.get("name") != name:
+        _MADE.update(name=name, words=Words(SparkFiles.get(name)))
+    return _MADE["words"]
 
 
-_MADE: dict = {}
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
 
 
-def _words(name: str, added: bool) -> Words:
-    if _MADE.get("name") != (name, added):
-        _MADE.update(name=(name, added), words=Words(SparkFiles.get(name), added=added))
-    return _MADE["words"]
+CHUNK = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> None:
-    """Encode ``docs`` and write the store to the folder ``path``; ``added`` as in ``Words``."""
+def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode ``docs`` and write the store to the folder ``path``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "store")
     rows, _ = keyed(docs, scratch, id_col, text_col)
     spark.sparkContext.addFile(vocabulary)
     name = vocabulary.rsplit("/", 1)[-1]
     kind = dict(rows.dtypes)["id"]
-    names = ["key", "id", "n_tokens", "digests", "chunks"]
-    chunk = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
 
     def cut(stream):
-        words = _words(name, added)
-        width = 2 if words.size <= 1 << 16 else 4
+        words = _words(name)
         pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         seen: set[bytes] = set()
         for batch in batches(stream, most=1 << 20):
-            counts, digests, chunks = [], [], []
-            for ids in words.encode(raw(batch.column("text"))):
-                mine, new, last = [], [], 0
-                for end in cuts(ids):
-                    part = ids[last:end]
-                    last = end
-                    data = part.astype("<u4").tobytes()
-                    mark = digest(data)
-                    mine.append(mark)
-                    if mark not in seen:
-                        seen.add(mark)
-                        new.append({"digest": mark, "n": len(part), "payload": pack(part.astype(f"<u{width}").tobytes())})
-                if len(seen) > SEEN:  # repeats then come once more and are dropped by digest below
-                    seen.clear()
-                counts.append(len(ids))
-                digests.append(mine)
-                chunks.append(new)
-            columns = [batch.column("key"), batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(chunks, pa.list_(chunk))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            ids, counts = words.encode(raw(batch.column("text")))
+            ends, chunks = cuts(ids, counts)
+            wide, narrow = ids.astype("<u4").tobytes(), ids.astype(words.kind).tobytes()
+            width, marks, new, fresh, last = words.kind.itemsize, [], [], [], 0
+            for end in ends:
+                mark = digest(wide[4 * last : 4 * end])
+                marks.append(mark)
+                fresh.append(mark not in seen)
+                if fresh[-1]:
+                    seen.add(mark)
+                    new.append({"digest": mark, "n": end - last, "payload": pack(narrow[width * last : width * end])})
+                last = end
+            if len(seen) > SEEN:  # repeats then come once more and are dropped by digest below
+                seen.clear()
+            owner = np.repeat(np.arange(len(counts)), chunks)
+            fresh_of = np.bincount(owner[np.array(fresh, dtype=bool)], minlength=len(counts))
+            columns = [batch.column("key"), batch.column("id"), pa.array(counts), _lists(pa.array(marks, pa.binary()), chunks), _lists(pa.array(new, CHUNK), fresh_of)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n_tokens", "digests", "chunks"])
 
     schema = f"key long, id {kind}, n_tokens long, digests array<binary>, chunks array<struct<digest:binary,n:int,payload:binary>>"
     encoded = scratch.keep(rows.select("key", "id", "text").mapInArrow(cut, schema), "encoded")
@@ -210,63 +313,72 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     single.write.parquet(f"{path}/chunks")
 
     def number(stream):
-        part, before = TaskContext.get().partitionId(), 0
+        part, at, before = TaskContext.get().partitionId(), 0, 0
         for batch in stream:
-            counts = batch.column("n_tokens").to_pylist()
-            local = []
-            for n in counts:
-                local.append(before)
-                before += n
-            leaves = [leaf(n, d) for n, d in zip(counts, batch.column("digests").to_pylist())]
-            columns = [pa.array([part] * len(counts), pa.int32()), *[batch.column(c) for c in ("key", "id", "n_tokens")], pa.array(local, pa.int64()), batch.column("digests"), pa.array(leaves, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "key", "id", "n_tokens", "local", "digests", "leaf"])
+            counts = batch.column("n_tokens").to_numpy()
+            local = before + np.cumsum(counts) - counts
+            columns = [pa.array(np.full(len(counts), part), pa.int32()), pa.array(np.arange(at, at + len(counts))), *[batch.column(c) for c in ("key", "id", "n_tokens")], pa.array(local), batch.column("digests")]
+            at, before = at + len(counts), before + int(counts.sum())
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "at", "key", "id", "n_tokens", "local", "digests"])
 
     ordered = encoded.select("key", "id", "n_tokens", "digests").repartitionByRange(partitions_for(spark), "key").sortWithinPartitions("key")
-    ordered.mapInArrow(number, f"part int, key long, id {kind}, n_tokens long, local long, digests array<binary>, leaf binary").write.parquet(f"{path}/recipes")
+    ordered.mapInArrow(number, f"part int, at long, key long, id {kind}, n_tokens long, local long, digests array<binary>").write.parquet(f"{path}/recipes")
     scratch.drop(encoded)
     start, out = 0, []
+    width = Words(vocabulary).kind.itemsize
     for part, n_docs, n_tokens, root in _roots(spark, path):
-        out.append((part, n_docs, n_tokens, start, root))
+        out.append((part, n_docs, n_tokens, start, width, root))
         start += n_tokens
-    out.append((-1, sum(x[1] for x in out), start, 0, bytearray(merkle([bytes(x[4]) for x in out]))))
-    spark.createDataFrame(out, "part int, n_docs long, n_tokens long, start long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    out.append((-1, sum(x[1] for x in out), start, 0, width, _root_of([x[5] for x in out])))
+    spark.createDataFrame(out, "part int, n_docs long, n_tokens long, start long, width int, root string").coalesce(1).write.parquet(f"{path}/manifest")
 
 
-def _roots(spark: SparkSession, path: str) -> list[tuple]:
-    """(part, documents, ids, Merkle root) of each part of the recipes, in order; one row a part."""
+def leaf(n_tokens: Column, digests: Column) -> Column:
+    """Hash of a recipe."""
+    return F.sha2(F.concat_ws(" ", F.lit("leaf"), n_tokens.cast("string"), F.transform(digests, F.hex)).cast("binary"), 256)
 
-    def root(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        leaves = [leaf(n, list(d)) for n, d in zip(group.n_tokens, group.digests)]
-        if leaves != list(group.leaf):
-            raise ValueError(f"a recipe of part {group.part.iloc[0]} differs from its leaf")
-        return pd.DataFrame({"part": [group.part.iloc[0]], "n_docs": [len(group)], "n_tokens": [group.n_tokens.sum()], "root": [merkle(leaves)]})
 
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "key", "n_tokens", "digests", "leaf")
-    return sorted((tuple(r) for r in recipes.groupBy("part").applyInPandas(root, "part int, n_docs long, n_tokens long, root binary").collect()), key=lambda r: r[0])
+def _root_of(roots: list[str]) -> str:
+    return hashlib.sha256(" ".join(["node", *roots]).encode()).hexdigest()
 
 
-def verify(spark: SparkSession, path: str) -> None:
-    """Compare the recipes with the Merkle manifest."""
-    told = {r["part"]: r for r in spark.read.parquet(f"{path}/manifest").collect()}
+def _roots(spark: SparkSession, path: str) -> list[tuple]:
+    """(part, documents, ids, Merkle root) of each part of the recipes, in order; one row a part."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    level = recipes.select("part", "at", F.lit(1).cast("long").alias("n_docs"), "n_tokens", leaf(F.col("n_tokens"), F.col("digests")).alias("hash"))
+    most = (recipes.agg(F.max("at")).first()[0] or 0) + 1
+    while True:
+        children = F.array_sort(F.collect_list(F.struct("at", "hash")))
+        node = F.sha2(F.concat_ws(" ", F.lit("node"), F.transform(children, lambda x: x["hash"])).cast("binary"), 256)
+        level = level.groupBy("part", F.expr(f"at div {FAN}").alias("at")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), node.alias("hash"))
+        most = -(-most // FAN)
+        if most <= 1:
+            return sorted(tuple(r) for r in level.select("part", "n_docs", "n_tokens", "hash").collect())
+
+
+def verify(spark: SparkSession, path: str) -> dict:
+    """Compare the recipes with the Merkle manifest, and return the row of the whole."""
+    told = {r["part"]: r.asDict() for r in spark.read.parquet(f"{path}/manifest").collect()}
     found = _roots(spark, path)
-    if [(p, n, t, bytes(r)) for p, n, t, r in found] != [(p, x["n_docs"], x["n_tokens"], bytes(x["root"])) for p, x in sorted(told.items()) if p >= 0]:
+    if found != [(p, x["n_docs"], x["n_tokens"], x["root"]) for p, x in sorted(told.items()) if p >= 0]:
         raise ValueError("the recipes differ from the manifest")
-    if merkle([bytes(r) for *_, r in found]) != bytes(told[-1]["root"]):
+    if _root_of([x[3] for x in found]) != told[-1]["root"] or sum(x[1] for x in found) != told[-1]["n_docs"]:
         raise ValueError("the parts differ from the manifest's root")
+    return told[-1]
 
 
-def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read(spark: SparkSession, path: str) -> DataFrame:
     """``id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids`` (unsigned 32-bit, little-endian)."""
-    verify(spark, path)
+    width = verify(spark, path)["width"]
     recipes = spark.read.parquet(f"{path}/recipes")
     starts = spark.read.parquet(f"{path}/manifest").where("part >= 0").select("part", F.col("start").alias("before"))
     # the manifest has one row for each part
-    heads = recipes.join(F.broadcast(starts), "part").select("key", "id", (F.col("before") + F.col("local")).alias("start"), "n_tokens")
+    heads = recipes.join(F.broadcast(starts), "part", "left").select("key", "id", (F.col("before") + F.col("local")).alias("start"), "n_tokens")
     wanted = recipes.select("key", F.posexplode("digests").alias("at", "digest"))
-    pieces = wanted.join(spark.read.parquet(f"{path}/chunks"), "digest").groupBy("key").agg(F.collect_list(F.struct("at", "digest", "payload")).alias("pieces"))
+    # left joins: a chunk that is missing is seen below, not dropped with its document
+    pieces = wanted.join(spark.read.parquet(f"{path}/chunks"), "digest", "left").groupBy("key").agg(F.collect_list(F.struct("at", "digest", "payload")).alias("pieces"))
     kind = dict(recipes.dtypes)["id"]
-    whole = heads.join(pieces, "key")
+    whole = heads.join(pieces, "key", "left")
 
     def join(stream):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -274,7 +386,9 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             out = []
             for n, pieces in zip(batch.column("n_tokens").to_pylist(), batch.column("pieces").to_pylist()):
                 parts = []
-                for piece in sorted(pieces, key=lambda x: x["at"]):
+                for piece in sorted(pieces or [], key=lambda x: x["at"]):
+                    if piece["payload"] is None:
+                        raise ValueError("a chunk is missing")
                     data = np.frombuffer(unpack(piece["payload"]), f"<u{width}").astype("<u4").tobytes()
                     if digest(data) != piece["digest"]:
                         raise ValueError("a chunk differs from its digest")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -98,6 +99,61 @@ def test_tiling_against_brute_force():
         assert sorted(got) == tile_brute(item, doc, 2)
 
 
+def test_tiling_of_repetitive_texts_is_fast():
+    """Equal words, and short cycles of words, of 200,000 words: no list of pairs is made."""
+    began = time.time()
+    equal = np.full(200_000, 7, np.uint64)
+    assert decontam.tile(equal[:40], equal, 4) == [(0, 0, 40)]
+    assert sum(n for *_, n in decontam.tile(equal[:3000], np.arange(200_000, dtype=np.uint64) % 3 + 6, 1)) == 3000
+    cycle = np.arange(200_000, dtype=np.uint64) % 5
+    assert decontam.tile(cycle[:2001], cycle, 4) == [(0, 0, 2001)]
+    assert time.time() - began < 10
+
+
+def contaminated_brute(text, items, least, threshold):
+    """Coverage by definition, of every item and without seeds."""
+    words = lambda t: re.findall(r"(?:[^\x00-\x7f]|[a-z0-9])+", (t or "").lower())
+    doc, out = words(text), []
+    for name, item in items:
+        w = words(item)
+        share = sum(n for *_, n in tile_brute(w, doc, min(least, len(w)))) / len(w) if w else 0.0
+        if share >= threshold:
+            out.append((-share, name is None, name or 0))
+    return [(name if not none else None, -share) for share, none, name in sorted(out)]
+
+
+def test_contamination_against_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(1, 14)))) for i in range(12)] + [(None, "one two three four five"), (12, None), (13, ""), (14, "..")]
+    texts = [None, "", "One two; three four!"]
+    for _ in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(items[:13])[1].split()
+            a = rng.randint(0, len(w))
+            parts += [" ".join(w[a:] + w[:a]), " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(0, 5)))]
+        texts.append(", ".join(parts))
+    texts += [" ".join(rng.choice("ijk") + rng.choice("xyz") for _ in range(9)) for _ in range(20)]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in queries.op5_decontamination(spark, str(tmp_path)).collect()}
+    caught = 0
+    for i, t in enumerate(texts):
+        told = contaminated_brute(t, items, decontam.LEAST, decontam.THRESHOLD)
+        caught += bool(told)
+        assert got[i].contaminated == bool(told), t
+        assert (got[i].item_id, got[i].coverage) == (told[0] if told else (None, 0.0)), t
+        assert got[i].item_ids == sorted((x for x, _ in told if x is not None)) or None in got[i].item_ids
+    assert 20 < caught <= 80
+
+
+def test_contamination_by_items_with_other_ids(spark):
+    docs = spark.createDataFrame([(None, "one two three four"), (1, "one two three four"), (1, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([("b", "one two three four"), ("a", "One, two, three, four."), (None, "three four")], "item_id string, text string")
+    got = decontam.judge(docs, items).collect()
+    assert sorted((r.contaminated, r.item_id) for r in got if r.contaminated) == [(True, "a")] * 2 and len(got) == 3
+
+
 def test_contamination(spark):
     item = "The quick brown fox jumps over the lazy dog while seven wizards mix potent brews at dawn"
     w = item.split()
@@ -248,25 +304,91 @@ def test_token_digests(spark):
 # ------------------------------------------------------------------ store
 
 
-def test_store_round_trip(spark):
+def replaced(spark, path, change):
+    """The rows of a stored table, changed."""
+    schema, rows = spark.read.parquet(path).schema, [r.asDict() for r in spark.read.parquet(path).collect()]
+    spark.createDataFrame(change(rows), schema).write.mode("overwrite").parquet(path)
+
+
+def stored(spark, texts):
+    path = util.Scratch(spark, "t").path("store")
+    tokenstore.write(table(spark, texts), path, WORDS)
+    return path
+
+
+def test_store_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(tokenstore, "FAN", 2)
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     rng = random.Random(3)
     passage = " ".join(f"word{rng.randint(0, 900)}" for _ in range(2000))
     texts = TRICKY + [passage, "before " + passage, passage + " after"] + ["few words"] * 4
-    path = util.Scratch(spark, "t").path("store")
-    tokenstore.write(table(spark, texts), path, WORDS)
+    path = stored(spark, texts)
     start = 0
     for r in tokenstore.read(spark, path).orderBy("id").collect():
         ids = np.array(t.encode(texts[r.id] or "", add_special_tokens=False).ids + [2], "<u4")
         assert (r.start, r.n_tokens, bytes(r.ids)) == (start, len(ids), ids.tobytes())
         start += len(ids)
-    stored = spark.read.parquet(f"{path}/chunks").agg(F.sum("n")).first()[0]
-    assert stored < 0.6 * start and spark.read.parquet(f"{path}/chunks").groupBy("digest").count().where("`count` > 1").count() == 0
-    bad = spark.read.parquet(f"{path}/recipes").withColumn("n_tokens", F.col("n_tokens") + 1).collect()
-    spark.createDataFrame(bad, spark.read.parquet(f"{path}/recipes").schema).write.mode("overwrite").parquet(f"{path}/recipes")
-    with pytest.raises(Exception, match="differs"):
-        tokenstore.verify(spark, path)
+    held = spark.read.parquet(f"{path}/chunks")
+    assert held.agg(F.sum("n")).first()[0] < 0.6 * start and held.groupBy("digest").count().where("`count` > 1").count() == 0
+    assert {r.width for r in spark.read.parquet(f"{path}/manifest").collect()} == {2}
+
+
+def _swapped(rows):
+    rows[0]["payload"], rows[1]["payload"] = rows[1]["payload"], rows[0]["payload"]
+    return rows
+
+
+def _longer(rows):
+    rows[0]["n_tokens"] += 1
+    return rows
+
+
+def _shorter(rows):
+    row = max(rows, key=lambda r: len(r["digests"]))
+    row["digests"] = row["digests"][:-1]
+    return rows
+
+
+@pytest.mark.parametrize(
+    "part, change, message",
+    [
+        ("chunks", lambda rows: rows[1:], "missing"),
+        ("chunks", _swapped, "differs"),
+        ("recipes", lambda rows: rows[1:], "differ"),
+        ("recipes", _longer, "differ"),
+        ("recipes", _shorter, "differ"),
+        ("manifest", lambda rows: [r | {"root": "0" * 64} if r["part"] == -1 else r for r in rows], "differ"),
+    ],
+)
+def test_damaged_store_is_not_read(spark, part, change, message):
+    path = stored(spark, ["one text", "another text of more words", "third", None])
+    replaced(spark, f"{path}/{part}", change)
+    with pytest.raises(Exception, match=message):
+        tokenstore.read(spark, path).collect()
+
+
+def test_words_are_encoded_as_by_the_library():
+    """Combining marks, signs, contractions, white space and the text of special tokens, in any order."""
+    t, words = Tokenizer.from_file(WORDS), tokenstore.Words(WORDS, most=500)
+    rng = random.Random(5)
+    parts = list("J\u030cT\u0308W\u030aY\u0323j\u0301éÉßẞİıÅÿŸ÷×µªº\xa0\x85\u2028\x1c\x001٣½²abZ.,!_~@[{-/ \n\t\rñ日한\u1100\u1161ﬁ😀\u200dΣς\u212a\u212b\u0345")
+    parts += ["'s", "'S", "'", "’", "'ll", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "the", "THE", "###", "ción", "ΑΣ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(20_000)]
+    texts += [f"{chr(i)}a a{chr(i)}. {chr(i)}," for i in range(0x3000)]
+    told = [e.ids + [2] for e in t.encode_batch(texts, add_special_tokens=False)]
+    for start in range(0, len(texts), 1000):
+        ids, counts = words.encode([x.encode() for x in texts[start : start + 1000]])
+        for got, text, known in zip(np.split(ids, np.cumsum(counts)[:-1]), texts[start:], told[start:]):
+            assert got.tolist() == known, repr(text)
+
+
+def test_store_of_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(5, "b"), (None, "c d"), (5, "a"), (5, "a"), (None, None)], "doc_id int, text string")
+    path = util.Scratch(spark, "t").path("store")
+    tokenstore.write(df, path, WORDS)
+    got = tokenstore.read(spark, path).orderBy("start").collect()
+    assert [r.id for r in got] == [5, 5, 5, None, None] and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got[:-1]]).tolist()
+    assert sorted(r.n_tokens for r in got) == [1, 2, 2, 2, 3]
 
 
 def test_store_query_agrees_with_the_library_as_loaded(spark, tmp_path):
@@ -290,10 +412,15 @@ def test_store_of_nothing(spark):
 def test_chunks_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 49000, 20_000).astype(np.uint32)
-    pieces = lambda x: [x[a:b].tobytes() for a, b in zip([0, *tokenstore.cuts(x)], tokenstore.cuts(x))]
-    a, b = pieces(ids), pieces(np.concatenate((rng.integers(0, 9, 777).astype(np.uint32), ids)))
-    assert b"".join(a) == ids.tobytes() and len(set(a) & set(b)) > 0.8 * len(a)
-    assert all(len(x) <= 4 * tokenstore.MOST for x in a)
+    streams = [ids, np.concatenate((rng.integers(0, 9, 777).astype(np.uint32), ids)), np.zeros(10_000, np.uint32), ids[:1]]
+    ends, chunks = tokenstore.cuts(np.concatenate(streams), np.array([len(x) for x in streams]))
+    pieces = np.split(np.concatenate(streams), ends[:-1])
+    mine = [[x.tobytes() for x in pieces[b - n : b]] for b, n in zip(np.cumsum(chunks), chunks)]
+    assert [b"".join(x) for x in mine] == [x.tobytes() for x in streams]
+    assert len(set(mine[0]) & set(mine[1])) > 0.8 * len(mine[0])
+    assert all(len(x) <= 4 * tokenstore.MOST for x in sum(mine, []))
+    alone = [tokenstore.cuts(x, np.array([len(x)]))[1].tolist() for x in streams]
+    assert sum(alone, []) == chunks.tolist()
 
 
 # ------------------------------------------------------------------ shards
