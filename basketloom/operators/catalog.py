@@ -42,3 +42,11 @@ def basket_profile(lines: DataFrame) -> DataFrame:
 def product_tail(counts: DataFrame, bounds: tuple[int, ...] = (10, 30, 50)) -> DataFrame:
     """Products seen fewer times than each bound, and their share in percent."""
     return counts.agg(F.count("*").alias("products"), *[x for b in bounds for x in (F.count_if(F.col("cnt") < b).alias(f"below_{b}"), F.round(100.0 * F.count_if(F.col("cnt") < b) / F.count("*"), 6).alias(f"pct_below_{b}"))])
+
+
+def lookup(dimension: DataFrame, ids: list[int]) -> DataFrame:
+    """(product_id, product_name, department) of a few given ids; unknown ones are named Unknown(id)."""
+    asked = dimension.sparkSession.createDataFrame([(i,) for i in ids], "product_id long")
+    # the given ids are the small side, so the dimension isn't moved
+    out = dimension.select("product_id", "product_name", "department").join(F.broadcast(asked), "product_id", "right")
+    return out.select("product_id", F.coalesce("product_name", F.concat(F.lit("Unknown("), F.col("product_id").cast("string"), F.lit(")"))).alias("product_name"), F.coalesce("department", F.lit("")).alias("department"))

@@ -43,3 +43,15 @@ def skipping(truth: DataFrame, ranked: DataFrame, keys: DataFrame, k: int, model
     total = targets.agg(F.count("*").alias("n_targets"))
     means = rows.agg(F.count("*").alias("n_evaluated"), *_means(k))
     return total.join(F.broadcast(means)).select(F.lit(model).alias("model"), "n_targets", "n_evaluated", (F.col("n_targets") - F.col("n_evaluated")).alias("n_skipped"), *[f"{c}_at_{k}" for c in ("precision", "recall", "f1", "hit")])
+
+
+def compare(truth: DataFrame, panel: DataFrame, keys: DataFrame, k: int, models: tuple[str, ...]) -> DataFrame:
+    """``fair`` of several models at once, over one panel (model, a, b, rank)."""
+    gt = truth.select("a", "b").distinct().join(keys, "a", "left_semi")
+    size = gt.groupBy("a").agg(F.count("*").alias("n_true")).withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    recs = panel.where(F.col("rank") <= k).select("model", "a", "b").join(keys, "a", "left_semi")
+    hits = recs.join(gt.withColumn("ok", F.lit(1)), ["a", "b"], "left").groupBy("model", "a").agg(F.count("*").alias("n_recs"), F.count("ok").alias("hits"))
+    rows = size.join(hits, ["model", "a"], "left").na.fill(0, ["n_recs", "hits"])
+    p, r = F.col("hits") / F.lit(float(k)), F.col("hits") / F.col("n_true").cast("double")
+    rows = rows.select("model", "n_recs", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"), (F.col("hits") > 0).cast("double").alias("hit"))
+    return rows.groupBy("model").agg(F.count("*").alias("test_set_size"), F.count_if(F.col("n_recs") == 0).alias("n_errors"), *_means(k))

@@ -133,6 +133,12 @@ def orders_by_split(s, d):
     return g.join(F.broadcast(total)).select("eval_set", "orders", "users", F.round(F.col("orders") / F.col("users").cast("double"), 6).alias("orders_per_user"), F.round(100.0 * F.col("orders") / F.col("total"), 6).alias("share"))
 
 
+@query("""SELECT count(*) AS users, round(avg(n), 6) AS mean, max(n) AS most FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)""")
+def orders_per_user(s, d):
+    n = table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("users"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"))
+
+
 @query("""SELECT l_orderkey AS order_id, l_partkey AS product_id, o_orderstatus AS split FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('O', 'F')""")
 def union_prior_train(s, d):
     li, o = table(s, d, "lineitem"), table(s, d, "orders")
@@ -222,6 +228,16 @@ def pair_diagnostics(s, d):
     return baskets.directed_pairs(brand_lines(s, d)).agg(F.count("*").alias("pairs"), F.sum("cnt").alias("emitted"), F.max("cnt").alias("largest"), F.countDistinct("a").alias("items"))
 
 
+@query(f"""WITH {PART_LINES}, {_cooc(PART_SUPPORT)} SELECT (SELECT count(*) FROM cooc) AS nnz, (SELECT count(DISTINCT product_id) FROM lines) AS shape,
+round((SELECT count(*) FROM cooc) / (CAST((SELECT count(DISTINCT product_id) FROM lines) AS DOUBLE) * (SELECT count(DISTINCT product_id) FROM lines)), 9) AS density""")
+def matrix_diagnostics(s, d):
+    """Entries, side and density of the co-occurrence matrix."""
+    lines = part_lines(s, d)
+    nnz = baskets.cooccurrence(lines, PART_SUPPORT).agg(F.count("*").alias("nnz"))
+    shape = lines.agg(F.countDistinct("product_id").alias("shape"))
+    return nnz.join(F.broadcast(shape)).select("nnz", "shape", F.round(F.col("nnz") / (F.col("shape").cast("double") * F.col("shape")), 9).alias("density"))
+
+
 @query(f"WITH {PART_LINES}, {_cooc(PART_SUPPORT)}, {SCORED} SELECT a, b, cnt, score FROM scored")
 def item_cf_scores(s, d):
     return item_cf(s, d)
@@ -360,3 +376,17 @@ def cb_detail(s, d):
 def picker_labels(s, d):
     label = F.concat_ws(" - ", F.col("p_partkey").cast("string"), "p_name")
     return table(s, d, "part").select(F.col("p_partkey").alias("product_id"), F.when(F.length(label) > 16, F.concat(F.substring(label, 1, 16), F.lit("..."))).otherwise(label).alias("label"))
+
+
+@query(f"""WITH {DIM}, asked AS (SELECT unnest([0, 1, 7, -5, 1000000000]) AS product_id)
+SELECT asked.product_id, coalesce(product_name, 'Unknown(' || asked.product_id || ')') AS product_name, coalesce(department, '') AS department FROM asked LEFT JOIN dim USING (product_id)""")
+def product_lookup(s, d):
+    """Names of given ids; unknown ones are named so."""
+    return catalog.lookup(dimension(s, d), [0, 1, 7, -5, 1000000000])
+
+
+@query(f"WITH {PART_LINES}, {_cooc(PART_SUPPORT)}, {SCORED}, {_top('scored', 5)} SELECT a, b, printf('%.4f', score) AS score, rank FROM ranked WHERE a IN (0, 20, 40, 60)")
+def picked_preview(s, d):
+    """The five best of chosen products, with scores as text."""
+    picked = item_cf(s, d).where(F.col("a").isin(0, 20, 40, 60))
+    return itemcf.top_k(picked, 5).select("a", "b", F.format_string("%.4f", "score").alias("score"), F.col("rank").cast("long").alias("rank"))

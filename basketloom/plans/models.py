@@ -66,29 +66,45 @@ def semantic_starts(s, d):
 
 
 def _walk_sentences(s, d, num: int = NUM_WALKS, length: int = WALK_LENGTH) -> DataFrame:
-    dim = dimension(s, d)
-    starts = graph.semantic_starts(dim).select(F.col("product_id").alias("idx"), F.col("product_id").alias("node"))
-    return graph.walks(starts, graph.adjacency(edges(s, d)), dim, num, length)
+    return graph.walks(edges(s, d), dimension(s, d), num, length, DEFAULT.behavioral_ratio)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, {DIM},
+_DRAW = "((walk_id * 7919 + {step} * 104729 + 42) % 1000003)"
+WALKS = f"""{EDGES}, {DIM},
 adj AS (SELECT src, list(dst ORDER BY dst) AS nb FROM links GROUP BY 1),
 cat AS (SELECT aisle_id, list(product_id ORDER BY product_id) AS mem FROM dim GROUP BY 1),
 node AS (SELECT p.product_id, nb, coalesce(len(nb), 0) AS nn, list_filter(mem, lambda x: x <> p.product_id) AS oth, len(mem) - 1 AS no FROM dim p JOIN cat USING (aisle_id) LEFT JOIN adj ON src = p.product_id),
-total AS (SELECT count(*) AS n FROM dim),
-w AS (SELECT k * n + product_id AS walk_id, product_id AS cur, 0 AS step, CAST(product_id AS VARCHAR) AS walk,
-   (((k * n + product_id) * 7919 + 42) % 1000003) % 1000 < 500 AS beh FROM dim, total, (SELECT unnest(range(0, {NUM_WALKS})) AS k)
+beh AS (SELECT src AS node, row_number() OVER (ORDER BY src) - 1 AS i, count(*) OVER () AS n FROM adj),
+sem AS (SELECT product_id AS node, row_number() OVER (ORDER BY product_id) - 1 AS i, count(*) OVER () AS n FROM node WHERE no > 0),
+plan AS (SELECT unnest(range(0, (SELECT greatest(max(beh.n), max(sem.n)) FROM beh, sem) * {{num}})) AS walk_id),
+first AS (SELECT walk_id, {_DRAW.format(step=0)} % 1000 < 500 AS beh, b.node AS b, s.node AS s FROM plan JOIN beh b ON b.i = walk_id % b.n JOIN sem s ON s.i = walk_id % s.n),
+w AS (SELECT walk_id, CASE WHEN beh THEN b ELSE s END AS cur, 0 AS step, CAST(CASE WHEN beh THEN b ELSE s END AS VARCHAR) AS walk, beh, s FROM first
  UNION ALL
- SELECT walk_id, nxt, step, walk || ' ' || CAST(nxt AS VARCHAR), beh FROM (
-  SELECT walk_id, w.step + 1 AS step, walk, beh,
-   CASE WHEN beh THEN coalesce(nb[1 + ((walk_id * 7919 + (w.step + 1) * 104729 + 42) % 1000003) % nullif(nn, 0)], oth[1 + ((walk_id * 7919 + (w.step + 1) * 104729 + 42) % 1000003) % nullif(no, 0)])
-        ELSE coalesce(oth[1 + ((walk_id * 7919 + (w.step + 1) * 104729 + 42) % 1000003) % nullif(no, 0)], nb[1 + ((walk_id * 7919 + (w.step + 1) * 104729 + 42) % 1000003) % nullif(nn, 0)]) END AS nxt
-  FROM w JOIN node ON node.product_id = cur WHERE w.step < {WALK_LENGTH - 1}) WHERE nxt IS NOT NULL)
-SELECT walk_id, arg_max(walk, step) AS walk, CAST(max(step) + 1 AS BIGINT) AS n FROM w GROUP BY 1 HAVING max(step) > 0""")
+ SELECT walk_id, nxt, step, walk || ' ' || CAST(nxt AS VARCHAR), beh, s FROM (
+  SELECT walk_id, w.step + 1 AS step, walk, beh, s,
+   CASE WHEN NOT beh AND no > 0 THEN oth[1 + {_DRAW.format(step='(w.step + 1)')} % no]
+        WHEN nn > 0 THEN nb[1 + {_DRAW.format(step='(w.step + 1)')} % nn]
+        WHEN beh THEN s END AS nxt
+  FROM w JOIN node ON node.product_id = cur WHERE w.step < {{length}} - 1) WHERE nxt IS NOT NULL),
+walked AS (SELECT walk_id, arg_max(walk, step) AS walk, CAST(max(step) + 1 AS BIGINT) AS n FROM w GROUP BY 1)"""
+SHORT_WALKS = WALKS.replace("{num}", str(NUM_WALKS)).replace("{length}", str(WALK_LENGTH))
+
+
+@query(f"WITH RECURSIVE {SHORT_WALKS} SELECT walk_id, walk, n FROM walked WHERE n > 1")
 def metapath_walks(s, d):
     return _walk_sentences(s, d).select("walk_id", F.array_join(F.col("items").cast("array<string>"), " ").alias("walk"), F.size("items").cast("long").alias("n"))
 
 
+@query(f"WITH RECURSIVE {SHORT_WALKS} SELECT count(*) AS walks, round(avg(n), 6) AS mean_length, (SELECT max(d) FROM (SELECT count(*) AS d FROM links GROUP BY src)) AS max_degree, count(*) FILTER (WHERE n > 1) AS sentences FROM walked")
+def walk_stats(s, d):
+    """Walks that end at once are counted too: their number is the budget less the sentences."""
+    e, dim = edges(s, d), dimension(s, d)
+    told = graph.walks(e, dim, NUM_WALKS, WALK_LENGTH, DEFAULT.behavioral_ratio, least=1)
+    most = graph.degrees(e).agg(F.max("degree").alias("max_degree"))
+    size = F.size("items")
+    return told.agg(F.count("*").alias("walks"), F.round(F.avg(size), 6).alias("mean_length"), F.count_if(size > 1).alias("sentences")).join(F.broadcast(most)).select("walks", "mean_length", "max_degree", "sentences")
+
+
 # ---------------------------------------------------------------- embeddings
 
 
@@ -122,7 +138,7 @@ def embedding_norms(s, d):
 
 
 def _trained(sentences: DataFrame, window: int, min_count: int) -> DataFrame:
-    return embed.word2vec(sentences, dim=DEFAULT.item2vec_dim, window=window, min_count=min_count, epochs=DEFAULT.epochs, partitions=4)
+    return embed.word2vec(sentences, dim=DEFAULT.item2vec_dim, window=window, min_count=min_count, epochs=DEFAULT.epochs, partitions=DEFAULT.train_partitions)
 
 
 @query()
@@ -145,22 +161,24 @@ def kg_embeddings(s, d):
 
 
 MODEL_K, FINAL_K = 100, 10
-FUSED = f"""{PART_LINES}, {_cooc(PART_SUPPORT)}, {SCORED}, {_top('scored', MODEL_K, 'icf_all')}, icf AS (SELECT * FROM icf_all WHERE a % 20 = 0),
+FUSED = f"""{PART_LINES}, {_cooc(PART_SUPPORT)}, {SCORED}, {_top('scored', MODEL_K, 'icf')},
 {_neighbours_sql('i2v', 1, 32, MODEL_K, False)}, {_neighbours_sql('kg', 33, 64, MODEL_K)},
 u AS (SELECT a, b, max(CASE WHEN m = 0 THEN score END) AS s0, max(CASE WHEN m = 1 THEN score END) AS s1, max(CASE WHEN m = 2 THEN score END) AS s2 FROM
-  (SELECT a, b, score, 0 AS m FROM icf UNION ALL SELECT a, b, score, 1 FROM i2v UNION ALL SELECT a, b, score, 2 FROM kg) GROUP BY 1, 2),
+  (SELECT a, b, score, 0 AS m FROM icf WHERE a % 20 = 0 UNION ALL SELECT a, b, score, 1 FROM i2v UNION ALL SELECT a, b, score, 2 FROM kg) GROUP BY 1, 2),
 f AS (SELECT a, b, coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2 FROM u),
 z AS (SELECT *, {', '.join(f"CASE WHEN min(s{i}) OVER (PARTITION BY a) = max(s{i}) OVER (PARTITION BY a) THEN 0.5 ELSE (s{i} - min(s{i}) OVER (PARTITION BY a)) / (max(s{i}) OVER (PARTITION BY a) - min(s{i}) OVER (PARTITION BY a) + 1e-9) END AS z{i}" for i in range(3))} FROM f),
 fused AS (SELECT a, b, s0, s1, s2, round(0.5 * z0 + 0.25 * z1 + 0.25 * z2, 6) AS score FROM z)"""
 
 
 def models(s, d, k: int = MODEL_K) -> list[DataFrame]:
-    icf = itemcf.top_k(item_cf(s, d), k).where("a % 20 = 0")
-    return [icf, neighbours(s, d, 1, 32, k, positive=False), neighbours(s, d, 33, 32, k)]
+    """ItemCF lists of all products; embedding lists of the stated query set."""
+    return [itemcf.top_k(item_cf(s, d), k), neighbours(s, d, 1, 32, k, positive=False), neighbours(s, d, 33, 32, k)]
 
 
-def fused(s, d, k: int = MODEL_K) -> DataFrame:
-    return fusion.fuse(models(s, d, k), [0.5, 0.25, 0.25])
+def fused(s, d, lists: list[DataFrame] | None = None) -> DataFrame:
+    """Of the products that all models are asked for: those of the query set."""
+    lists = lists or models(s, d)
+    return fusion.fuse([lists[0].where("a % 20 = 0"), *lists[1:]], [0.5, 0.25, 0.25])
 
 
 @query(f"WITH {FUSED} SELECT a, b, s0, s1, s2, score FROM fused WHERE score > 0")
@@ -173,37 +191,45 @@ def ensemble_topk(s, d):
     return itemcf.top_k(fused(s, d), FINAL_K).select("a", "b", "score", F.col("rank").cast("long").alias("rank"))
 
 
-FUSED_CB = f"WITH {VECTORS}, {COUNTS}, {FUSED}, {_top('fused', 1000000, 'ranked')}, {SIMS}"
+FUSED_CB = f"WITH {VECTORS}, {COUNTS}, {FUSED}, ranked AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM fused WHERE a <> b AND score > 0), {SIMS}"
 CB_KEPT = """ranked LEFT JOIN esim USING (a, b) WHERE a NOT IN (SELECT product_id FROM dim) OR b NOT IN (SELECT product_id FROM dim) OR sim < 0.25"""
 
 
-def _fused_kept(s, d) -> DataFrame:
-    ranked = itemcf.top_k(fused(s, d), 1_000_000)
-    kept = content.substitute_filter(ranked, similarity(s, d, ranked), dimension(s, d), 0.25)
-    return kept.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("rank"))).where(F.col("r") <= FINAL_K)
+KEPT_CB = f"kept_cb AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY rank) AS rank FROM {CB_KEPT} QUALIFY row_number() OVER (PARTITION BY a ORDER BY rank) <= 10)"
+
+
+def _fused_kept(s, d, found: DataFrame | None = None) -> DataFrame:
+    """The best that the content filter leaves, ranked anew; nothing is cut before the filter."""
+    found = fused(s, d) if found is None else found
+    kept = content.substitute_filter(found, similarity(s, d, found), dimension(s, d), 0.25)
+    return itemcf.top_k(kept, FINAL_K)
 
 
 @query(f"{FUSED_CB} SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY rank) AS rank FROM {CB_KEPT} QUALIFY row_number() OVER (PARTITION BY a ORDER BY rank) <= 10")
 def ensemble_cb_topk(s, d):
-    return _fused_kept(s, d).select("a", "b", "score", F.col("r").cast("long").alias("rank"))
+    return _fused_kept(s, d).select("a", "b", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""{FUSED_CB}, cb_kept AS (SELECT a, b FROM {CB_KEPT} QUALIFY row_number() OVER (PARTITION BY a ORDER BY rank) <= 10),
 plain AS (SELECT a, b FROM ranked WHERE rank <= 10)
 SELECT a, b, 'only_without_filter' AS side FROM (SELECT * FROM plain EXCEPT SELECT * FROM cb_kept) UNION ALL SELECT a, b, 'only_with_filter' FROM (SELECT * FROM cb_kept EXCEPT SELECT * FROM plain)""")
 def compare_filter(s, d):
-    plain = itemcf.top_k(fused(s, d), FINAL_K).select("a", "b")
-    kept = _fused_kept(s, d).select("a", "b")
-    return plain.exceptAll(kept).withColumn("side", F.lit("only_without_filter")).unionByName(kept.exceptAll(plain).withColumn("side", F.lit("only_with_filter")))
+    found = fused(s, d).persist()
+    return fusion.differences(itemcf.top_k(found, FINAL_K), _fused_kept(s, d, found))
+
 
+FIVE = ("ItemCF", "Item2Vec", "KGMetapath", "Ensemble", "Ensemble+CB")
 
-@query(f"""WITH {FUSED}, {_top('fused', FINAL_K, 'best')}
+
+@query(f"""{FUSED_CB}, {_top('fused', FINAL_K, 'best')}, {KEPT_CB}
 SELECT 'ItemCF' AS model, a, b, score, rank FROM icf WHERE rank <= 10 UNION ALL SELECT 'Item2Vec', a, b, score, rank FROM i2v WHERE rank <= 10
-UNION ALL SELECT 'KGMetapath', a, b, score, rank FROM kg WHERE rank <= 10 UNION ALL SELECT 'Ensemble', a, b, score, rank FROM best""")
+UNION ALL SELECT 'KGMetapath', a, b, score, rank FROM kg WHERE rank <= 10 UNION ALL SELECT 'Ensemble', a, b, score, rank FROM best UNION ALL SELECT 'Ensemble+CB', a, b, score, rank FROM kept_cb""")
 def all_model_panel(s, d):
-    lists = dict(zip(("ItemCF", "Item2Vec", "KGMetapath"), models(s, d))) | {"Ensemble": itemcf.top_k(fused(s, d), FINAL_K)}
+    """The lists of the three models are made once and serve themselves and both ensembles."""
+    lists = [x.persist() for x in models(s, d)]
+    found = fused(s, d, lists).persist()
     out = None
-    for name, ranked in lists.items():
+    for name, ranked in zip(FIVE, (*lists, itemcf.top_k(found, FINAL_K), _fused_kept(s, d, found))):
         one = ranked.where(F.col("rank") <= FINAL_K).select(F.lit(name).alias("model"), "a", "b", "score", F.col("rank").cast("long").alias("rank"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -256,21 +282,17 @@ def eval_skip(s, d):
     return evaluate.skipping(truth(s, d), trained(s, d), _keys(s, d), 10, "ItemCF")
 
 
-@query(f"""WITH {FUSED}, {_top('fused', 10, 'best')}, {GT}, rec AS (SELECT 'ItemCF' AS model, a, b FROM icf WHERE rank <= 10 UNION ALL SELECT 'Item2Vec', a, b FROM i2v WHERE rank <= 10
- UNION ALL SELECT 'KGMetapath', a, b FROM kg WHERE rank <= 10 UNION ALL SELECT 'Ensemble', a, b FROM best),
+@query(f"""{FUSED_CB}, {_top('fused', 10, 'best')}, {KEPT_CB}, {GT}, rec AS (SELECT 'ItemCF' AS model, a, b FROM icf WHERE rank <= 10 UNION ALL SELECT 'Item2Vec', a, b FROM i2v WHERE rank <= 10
+ UNION ALL SELECT 'KGMetapath', a, b FROM kg WHERE rank <= 10 UNION ALL SELECT 'Ensemble', a, b FROM best UNION ALL SELECT 'Ensemble+CB', a, b FROM kept_cb),
 keys AS (SELECT DISTINCT a FROM gt WHERE a % 20 = 0 AND a IN (SELECT vec_id FROM embeddings)),
-per AS (SELECT mm.model, k.a, (SELECT count(*) FROM gt WHERE gt.a = k.a) AS n_true, count(r.b) AS n_recs, count(g.b) AS hits FROM keys k CROSS JOIN (VALUES ('ItemCF'), ('Item2Vec'), ('KGMetapath'), ('Ensemble')) mm(model)
+per AS (SELECT mm.model, k.a, (SELECT count(*) FROM gt WHERE gt.a = k.a) AS n_true, count(r.b) AS n_recs, count(g.b) AS hits FROM keys k CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in FIVE)}) mm(model)
  LEFT JOIN rec r ON r.a = k.a AND r.model = mm.model LEFT JOIN gt g ON g.a = r.a AND g.b = r.b GROUP BY 1, 2),
 m AS (SELECT *, hits / 10.0 AS p, hits / CAST(n_true AS DOUBLE) AS r FROM per)
 SELECT model, count(*) AS test_set_size, count(*) FILTER (WHERE n_recs = 0) AS n_errors, {MEANS} FROM m GROUP BY 1""")
 def eval_comparison(s, d):
     gt = truth(s, d)
     keys = evaluate.common_keys(gt, [anchors(s, d).select(F.col("id").alias("product_id"))])
-    panel, out = all_model_panel(s, d), None
-    for name in ("ItemCF", "Item2Vec", "KGMetapath", "Ensemble"):
-        one = evaluate.fair(gt, panel.where(F.col("model") == name), keys, 10, name)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return evaluate.compare(gt, all_model_panel(s, d), keys, 10, FIVE)
 
 
 # ---------------------------------------------------------------- survey, reports, study
@@ -311,7 +333,8 @@ def survey_samples(s, d):
 
 @query(f"WITH {FUSED}, {GT} SELECT a, b, CASE WHEN (a, b) IN (SELECT (a, b) FROM gt) THEN 1 ELSE 0 END AS llm_label FROM icf WHERE rank <= 10")
 def survey_labeled(s, d):
-    pairs = models(s, d)[0].where("rank <= 10").select("a", "b")
+    """The ItemCF lists of all products, labelled."""
+    pairs = itemcf.top_k(item_cf(s, d), 10).select("a", "b")
     return pairs.join(truth(s, d).withColumn("ok", F.lit(1)), ["a", "b"], "left").select("a", "b", F.coalesce("ok", F.lit(0)).alias("llm_label"))
 
 
@@ -321,8 +344,7 @@ study AS (SELECT a, b, overlap, common FROM (SELECT *, row_number() OVER (PARTIT
 
 
 def _study(s, d) -> DataFrame:
-    order = [F.expr("(a * 7919 + b * 104729) % 1000003"), F.col("a"), F.col("b")]
-    return survey.sample_per_overlap(survey.overlap_pairs(dimension(s, d)), 1000, order)
+    return survey.sample_per_overlap(dimension(s, d))
 
 
 @query(f"WITH {OVERLAP} SELECT a, b, overlap, common FROM study")
@@ -334,7 +356,7 @@ STUDY = f"WITH {VECTORS}, {COUNTS}, {OVERLAP}, ranked AS (SELECT a, b FROM study
 
 
 def _study_sims(s, d) -> DataFrame:
-    pairs, dim = _study(s, d), dimension(s, d)
+    pairs, dim = _study(s, d).persist(), dimension(s, d)
     v, c = content.multi_field(dim, FIELDS), content.count_vectors(dim)
     both = content.tfidf_similarity(pairs, v).withColumnRenamed("sim", "tfidf").join(content.overlap_similarity(pairs, c).select("a", "b", "ovl"), ["a", "b"])
     return both.withColumn("blend", 0.5 * F.col("ovl") + 0.5 * F.col("tfidf")).join(pairs.select("a", "b", "overlap"), ["a", "b"])
@@ -345,9 +367,16 @@ def overlap_stats(s, d):
     return _study_sims(s, d).groupBy("overlap").agg(F.count("*").alias("pairs"), *[x for c in ("tfidf", "ovl", "blend") for x in (F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.stddev_pop(c), 6).alias(f"{c}_std"))])
 
 
-@query(f"{STUDY} SELECT bin, format('{{:.1f}}-{{:.1f}}', bin / 10.0, (bin + 1) / 10.0) AS label, count(*) AS n FROM (SELECT CAST(least(floor(round(ovl, 9) * 10), 9) AS INTEGER) AS bin FROM sims WHERE ovl BETWEEN 0 AND 1) GROUP BY 1")
+@query(f"{STUDY}, long AS (SELECT unnest([{{'m': 'tfidf', 'v': round(tfidf, 9)}}, {{'m': 'ovl', 'v': round(ovl, 9)}}, {{'m': 'blend', 'v': round(blend, 9)}}]) AS x FROM sims) "
+       "SELECT measure, bin, format('{:.1f}-{:.1f}', bin / 10.0, (bin + 1) / 10.0) AS label, count(*) AS n FROM (SELECT x.m AS measure, CAST(least(floor(x.v * 10), 9) AS INTEGER) AS bin FROM long WHERE x.v BETWEEN 0 AND 1) GROUP BY 1, 2")
 def similarity_histogram(s, d):
-    return survey.histogram(_study_sims(s, d).withColumn("ovl", F.round("ovl", 9)), "ovl")
+    """Of all three measures over the whole study."""
+    sims = _study_sims(s, d).persist()
+    out = None
+    for measure in ("tfidf", "ovl", "blend"):
+        one = survey.histogram(sims.select(F.round(measure, 9).alias("v")), "v").select(F.lit(measure).alias("measure"), "bin", "label", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"WITH {GT} SELECT a AS product_id FROM gt UNION SELECT b FROM gt")
@@ -385,8 +414,15 @@ def cascade_delete_survivors(s, d):
     return out
 
 
-@query("SELECT 'orders' AS tab, CAST(0 AS BIGINT) AS orphans UNION ALL SELECT 'lineitem', CAST(0 AS BIGINT)")
+@query(f"""WITH c AS (SELECT * FROM customer WHERE {KEEP}), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
+SELECT 'orders' AS tab, count(*) AS orphans FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM c) UNION ALL SELECT 'lineitem', count(*) FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT 'lineitem, all', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)""")
 def orphan_check(s, d):
+    """None after the cascade; lines of the uncut table whose order is gone."""
     left = _cascade(s, d)
-    a = maintenance.orphans(left["orders"], left["customer"], "o_custkey", "c_custkey").select(F.lit("orders").alias("tab"), "orphans")
-    return a.unionByName(maintenance.orphans(left["lineitem"], left["orders"], "l_orderkey", "o_orderkey").select(F.lit("lineitem").alias("tab"), "orphans"))
+    checks = [("orders", left["orders"], left["customer"], "o_custkey", "c_custkey"), ("lineitem", left["lineitem"], left["orders"], "l_orderkey", "o_orderkey"), ("lineitem, all", table(s, d, "lineitem"), left["orders"], "l_orderkey", "o_orderkey")]
+    out = None
+    for name, child, parents, foreign, key in checks:
+        one = maintenance.orphans(child, parents, foreign, key).select(F.lit(name).alias("tab"), "orphans")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -1,12 +1,14 @@
 """Worked examples and edge cases of the operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from basketloom.functions import scores, text
 from basketloom.operators import baskets, catalog, content, embed, evaluate, fusion, graph, itemcf, maintenance, survey
+from basketloom.recommenders import ContentFilter, Ensemble, Item2Vec, ItemCF, KGMetapath
 from basketloom.sources import readers
 
 
@@ -107,11 +109,63 @@ def test_graph(spark):
     assert rows(graph.adjacency(edges)) == [(1, [2, 2]), (2, [1, 1, 3]), (3, [2])]
     products = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9)], "product_id long, aisle_id long")
     assert rows(graph.semantic_starts(products)) == [(1,), (2,)]
-    starts = products.select(F.col("product_id").alias("idx"), F.col("product_id").alias("node"))
-    near = {1: {2}, 2: {1, 3}, 3: {2}}
-    for r in graph.walks(starts, graph.adjacency(edges), products, 3, 6).collect():
-        assert 2 <= len(r["items"]) <= 6
-        assert all(b in near[a] for a, b in zip(r["items"], r["items"][1:]))
+    assert graph.hops(edges, products)[0].where("node = 2").first()[1:] == (3, "7", 1, 2)
+
+
+def walked(edges, products, num, length, ratio):
+    """Walks by definition, with the same draws."""
+    near = {}
+    for a, b, _ in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    cat = {p: c for p, c in products if c is not None}
+    fellows = lambda p: sorted(q for q in cat if p in cat and cat[q] == cat[p] and q != p)
+    beh, sem = sorted(near), sorted(p for p in cat if fellows(p))
+    if not sem:
+        sem, ratio = beh, 1.0
+    out = {}
+    for w in range(max(len(beh), len(sem)) * num):
+        draw = lambda step, n: (w * 7919 + step * 104729 + 42) % 1000003 % n
+        behavioural = draw(0, 1000) < ratio * 1000
+        walk = [beh[w % len(beh)] if behavioural and beh else sem[w % len(sem)]]
+        for step in range(1, length):
+            here = walk[-1]
+            others, links = fellows(here), sorted(near.get(here, []))
+            if not behavioural and others:
+                walk.append(others[draw(step, len(others))])
+            elif links:
+                walk.append(links[draw(step, len(links))])
+            elif behavioural:
+                walk.append(sem[w % len(sem)])
+            else:
+                break
+        if len(walk) > 1:
+            out[w] = walk
+    return out
+
+
+@pytest.mark.parametrize(
+    "edges, products",
+    [
+        ([(1, 2, 5), (2, 1, 4), (2, 3, 9)], [(1, 7), (2, 7), (3, 8), (4, 9)]),
+        ([(1, 2, 5), (5, 2, 1)], [(1, 7), (2, 8), (3, None), (4, 9), (5, 7), (9, 9)]),  # ids without a product, without a category
+        ([(1, 2, 5), (3, 4, 1)], [(1, 1), (2, 2), (3, 3), (4, 4)]),  # no semantic start
+        ([], [(1, 7), (2, 7), (3, 8)]),  # no edge: behavioural walks jump to their semantic start
+        ([], [(1, 7), (2, 8)]),  # no start
+        ([(1, i, 3) for i in range(2, 40)], [(i, 1) for i in range(1, 40)]),  # a hub and one category
+    ],
+)
+def test_walks_against_brute_force(spark, edges, products):
+    e = spark.createDataFrame(edges, "a long, b long, cnt long")
+    p = spark.createDataFrame(products, "product_id long, aisle_id long")
+    got = {r.walk_id: r["items"] for r in graph.walks(e, p, 3, 6).collect()}
+    assert got == walked(edges, products, 3, 6, 0.5)
+
+
+def test_indexed_numbers_ids_in_order(spark):
+    ids = [5, 5, None, -7, 10**12, 0, 3]
+    got = graph.indexed(spark.createDataFrame([(i,) for i in ids], "node long"), "node", "i").orderBy("i").collect()
+    assert [(r.node, r.i) for r in got] == [(-7, 0), (0, 1), (3, 2), (5, 3), (10**12, 4)]
 
 
 def test_cosine_top_k(spark):
@@ -156,3 +210,83 @@ def test_sources(spark, tmp_path):
     assert rows(tables["edges"]) == rows(got) and settings == {"min_support": 10}
     with pytest.raises(FileNotFoundError):
         readers.require(spark, str(tmp_path / "missing"))
+
+
+def test_overlap_sample_is_the_first_of_all_pairs(spark, monkeypatch):
+    """Also where bands turn out too narrow."""
+    rng = random.Random(3)
+    names = [" ".join(rng.choice(["red", "Red", "blue", "old", "new", "box", "cup"]) for _ in range(rng.randint(0, 4))) for _ in range(70)] + [None, " "]
+    products = spark.createDataFrame([(i * 7, n) for i, n in enumerate(names)], "product_id long, product_name string")
+    sets = {i * 7: set((n or "").lower().split()) for i, n in enumerate(names)}
+    pairs = {}
+    for a in sets:
+        for b in sets:
+            common = sets[a] & sets[b]
+            if a < b and common:
+                pairs.setdefault(len(common), []).append(((a * survey.LEFT + b * survey.RIGHT) % survey.PRIME, a, b, ", ".join(sorted(common))))
+    for most, levels in ((20, (1, 10)), (10**6, (2, 3)), (1, (1, 10))):
+        told = sorted((a, b, n, c) for n, found in pairs.items() if levels[0] <= n <= levels[1] for _, a, b, c in sorted(found)[:most])
+        assert sorted(map(tuple, survey.sample_per_overlap(products, most, levels).collect())) == told
+    assert survey.sample_per_overlap(products.where("false")).count() == 0
+
+
+def test_swap_replaces_all_tables_or_none(spark, tmp_path):
+    folder = f"file://{tmp_path}/db"
+    spark.range(5).write.parquet(f"{folder}/a.parquet")
+    spark.range(7).write.parquet(f"{folder}/b.parquet")
+    with pytest.raises(Exception, match="(?i)divi"):
+        maintenance.swap(spark, {"a": spark.range(2), "b": spark.range(3).select(F.expr("1 / (id - 1)").alias("id"))}, folder)
+    count = lambda name: spark.read.parquet(f"{folder}/{name}.parquet").count()
+    assert (count("a"), count("b")) == (5, 7) and sorted(p.name for p in tmp_path.iterdir()) == ["db"]
+    maintenance.swap(spark, {"a": spark.read.parquet(f"{folder}/a.parquet").where("id < 3")}, folder)
+    assert (count("a"), count("b")) == (3, 7) and sorted(p.name for p in tmp_path.iterdir()) == ["db"]
+    with pytest.raises(ValueError):
+        maintenance.cascade(spark.range(0), [("a", spark.range(3), "id", [], "")])
+
+
+def test_missing_optional_file_and_made_table(spark, tmp_path, caplog):
+    assert readers.read_optional(spark, f"{tmp_path}/aisles_vi.csv", "aisles_vi") is None and "missing" in caplog.text
+    assert readers.read_words(spark, f"{tmp_path}/words.txt") == []
+    cleaned = spark.createDataFrame([("Sữa 500ml & Bánh",)], "t string").select(text.clean_text(F.col("t"), []).alias("c")).first().c
+    assert cleaned == "sữa bánh"
+    made = []
+    for _ in range(2):
+        table = readers.saved_or_made(spark, f"{tmp_path}/t", lambda: made.append(1) or spark.range(3))
+    assert made == [1] and table.count() == 3
+    with pytest.raises(FileNotFoundError, match="(?s)x.*settings"):
+        readers.load_model(spark, f"{tmp_path}/none", ["x"])
+
+
+def test_jdbc_source(spark):
+    url = "jdbc:derby:memory:basketloom;create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(4).withColumn("name", F.lit("x")).write.format("jdbc").options(url=url, dbtable="things", driver=driver).mode("overwrite").save()
+    assert readers.read_jdbc(spark, url, "things", driver=driver).count() == 4
+
+
+def test_settings_of_recommenders():
+    assert ItemCF().settings == {"min_support": 10, "top_k": 100}
+    assert ItemCF(min_support=2, top_k=None).settings == {"min_support": 2, "top_k": 100}
+    assert (Item2Vec().settings["dim"], KGMetapath().settings["num_walks"], ContentFilter().settings["threshold"]) == (128, 20, 0.25)
+    with pytest.raises(TypeError):
+        Ensemble(min_support=1)
+
+
+def test_vectors_of_missing_ids_are_zero(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vec array<double>")
+    got = embed.completed(v, spark.createDataFrame([(1,), (2,)], "product_id long"), 2)
+    assert sorted(map(tuple, got.collect())) == [(1, [1.0, 2.0]), (2, [0.0, 0.0])]
+
+
+def test_ensemble_keeps_its_models_when_stored(spark, tmp_path):
+    lines = spark.createDataFrame([(o, p, x) for o in range(12) for p, x in enumerate(sorted({o % 3, 3, 4 + o % 2}))], "order_id long, pos int, product_id long")
+    products = spark.createDataFrame([(i, f"name{i} thing", f"aisle{i % 2}", i % 2, "dep") for i in range(6)], "product_id long, product_name string, aisle string, aisle_id long, department string")
+    models = [ItemCF(min_support=1).fit(lines, products), KGMetapath(num_walks=2, walk_length=4, epochs=1, edge_threshold=1, dim=4, partitions=1).fit(lines, products)]
+    e = Ensemble(final_k=2, weights=(0.6, 0.4)).fit(models, ContentFilter(threshold=0.9).fit(products))
+    e.save(f"{tmp_path}/e")
+    back = Ensemble.load(spark, f"{tmp_path}/e")
+    assert [type(m) for m in back.models] == [ItemCF, KGMetapath] and back.settings["final_k"] == 2 and back.filter.settings["threshold"] == 0.9
+    asked = spark.createDataFrame([(3,), (99,)], "product_id long")
+    assert rows(back.recommend(asked)) == rows(e.recommend(asked)) and {r.a for r in back.recommend(asked).collect()} == {3}
+    assert back.recommend(asked, k=4).count() > 2 and back.compare(asked).count() >= 0
+    assert Ensemble.load(spark, f"{tmp_path}/e", with_models=False).settings == e.settings
