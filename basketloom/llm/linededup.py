@@ -1,30 +1,37 @@
 """Line deduplication over a suffix array of line ids, built by distributed prefix doubling.
 
-The lines of all documents, blank ones left out, are sequences of line ids (64-bit hashes of the trimmed lines). Round
-k ranks the suffixes by their first 2 ** k lines: a suffix whose second half has no rank, or whose pair of ranks is
-unique, is told apart from all others and leaves; the rest gets the rank (line id, offset), the offset being the
-number of smaller suffixes with the same first line. So the suffixes of one rank are an interval of the suffix array
-with a common prefix of at least 2 ** k lines, and the rounds end when every suffix is told apart.
-
-A suffix is a copy at depth d if its interval of depth d holds an earlier suffix (in the order of documents and
-lines). The ``d`` lines at which a copy begins are deleted if d is at least two, or if it is a single line of
-``MIN_WORDS`` words. Maximal repeated runs appear as unions: a run of m lines is covered by its own suffixes' intervals
-of depth 2, so deeper intervals lie within and add no line; they tell how deep the copies go.
-
-Only line ids and places are moved, and only those of repeated suffixes after the first round. Ranks are counted
-before they are joined back, so a line that stands in a third of all documents is summed where it is read.
+The lines of all documents, blank ones left out, are sequences of line ids (128-bit hashes of the trimmed lines). A run
+of lines is a copy if the same lines stand earlier, in the order of documents and lines; the lines of all copies of
+``MIN_WORDS`` words or more go, however many lines it takes to reach them.
+
+Round k ranks the suffixes by their first 2 ** k lines: a suffix whose second half has no rank, or whose pair of ranks
+is unique, shares no prefix of that length and leaves; the others get the place of their pair in the sorted order of
+pairs. So the suffixes of one rank are an interval of the suffix array with a common prefix of 2 ** k lines at least,
+and a run of d lines, 2 ** k <= d < 2 ** (k + 1), is named exactly by the ranks of its first and of its last 2 ** k
+lines. Every line of a copy of ``MIN_WORDS`` words lies in one that is no longer than needed at one of its ends, so
+only such runs are looked up: at most two for each line, of ``MIN_WORDS`` lines at most, each from its two ranks. Their
+union is that of all copies, as maximal repeated runs are unions of them. Rounds go on only for places that a run asks
+for, so their number depends on ``MIN_WORDS`` and not on the corpus.
+
+Only line ids and places are moved. Ranks are counted before they are joined back, and are places in a range sort of
+distinct pairs, so a line that stands in a third of all documents is one row where it is ranked; where it is joined
+back, the join's large side is split.
 
 Defined cases: a null text stays null, an empty one empty; blank lines are never compared and stay, unless all other
-lines go, which leaves an empty text. Null or repeated ids are rows of their own, ordered by id (nulls last) and text,
-so of repeated rows the first keeps its lines. An empty table gives no rows. Other columns are kept.
+lines go, which leaves an empty text. Words are cut at blanks, tabs and the other white space of ASCII. Null or repeated
+ids are rows of their own, ordered by id (nulls last) and text, so of repeated rows the first keeps its lines. An empty
+table gives no rows. Other columns are kept.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Scratch, keyed
+from .util import Scratch, batches, keyed, ranked, raw
 
 MIN_WORDS = 50
 _SPACES = " \t\r\f\v"
@@ -39,56 +46,126 @@ def _full(lines):
     return F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x, F.lit(_SPACES)) == "", -1).otherwise(i)), lambda i: i >= 0)
 
 
-def suffix_intervals(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``key``, ``pos``, ``depth``, ``first_key``, ``first_pos``, ``words``, ``line``, ``rank`` and ``size`` of repeated suffixes.
-
-    One row for each suffix and each power of two ``depth`` at which other suffixes begin with the same lines; the
-    interval is [rank, rank + size) among the suffixes that begin with ``line``; ``first_*`` is its earliest suffix.
+def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and numbers of lines of the runs of ``least`` words that aren't longer than needed at one end."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    n = len(words)
+    # from each line on, and up to each line
+    end = np.searchsorted(total, total[:-1] + least)
+    begin = np.searchsorted(total, total[1:] - least, "right") - 1
+    on, upto = end <= n, begin >= 0
+    first = np.concatenate((np.arange(n)[on], begin[upto]))
+    size = np.concatenate((end[on] - first[: on.sum()], np.arange(1, n + 1)[upto] - begin[upto]))
+    both = np.unique(first * (n + 1) + size)
+    return both // (n + 1), both % (n + 1)
+
+
+def needs(first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The greatest k for which the rank by 2 ** k lines is asked for at each of ``n`` places; -1 for none."""
+    k = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+    need = np.full(n, -1)
+    np.maximum.at(need, first, k)
+    np.maximum.at(need, first + size - (1 << k), k)
+    for level in range(int(need.max(initial=0)), 0, -1):
+        ahead = np.flatnonzero(need >= level) + (1 << (level - 1))
+        np.maximum.at(need, ahead, level - 1)
+    return need
+
+
+def _cut(least: int):
+    """Lines that any run asks for: their ids, how deep they are asked for, and the runs that begin there."""
+
+    def run(stream):
+        for batch in batches(stream, most=1 << 20):
+            keys, places, ids, need, sizes, ends = [], [], [], [], [], [0]
+            for key, text in zip(batch.column("key").to_pylist(), raw(batch.column("text"))):
+                full = [x for x in (line.strip(b" \t\r\f\v") for line in text.split(b"\n")) if x]
+                first, size = windows(np.array([len(x.split()) for x in full], dtype=np.int64), least)
+                if not len(first):
+                    continue
+                deep = needs(first, size, len(full))
+                asked = np.flatnonzero(deep >= 0)
+                at = np.searchsorted(first, asked)
+                upto = np.searchsorted(first, asked, "right")
+                keys += [key] * len(asked)
+                places += asked.tolist()
+                need += deep[asked].tolist()
+                ids += [xxhash.xxh3_128_digest(full[i]) for i in asked.tolist()]
+                # runs begin only where something is asked for, so they stand in the order of their first lines
+                sizes += size.tolist()
+                ends += (ends[-1] + np.cumsum(upto - at)).tolist()
+            runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sizes, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.binary()), pa.array(need, pa.int32()), runs], names=["key", "pos", "line", "need", "runs"])
+
+    return run
+
+
+def cut_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``key``, ``pos``, ``line`` (id), ``need`` and ``runs`` (numbers of lines) of the lines of ``rows``."""
+    return rows.where("text is not null").select("key", "text").mapInArrow(_cut(min_words), "key long, pos int, line binary, need int, runs array<int>")
+
+
+def suffix_intervals(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """For each k: ``key``, ``pos``, ``rank``, ``first_key`` and ``first_pos`` of the suffixes asked for by 2 ** k lines.
+
+    Only those that share their first 2 ** k lines with another one. Ranks are dense and sorted; the suffixes of one
+    rank are an interval of the suffix array, whose earliest suffix is ``first_*``.
     """
-    trimmed = F.filter(F.transform(_lines(), lambda x: F.trim(x, F.lit(_SPACES))), lambda x: x != "")
-    lines = rows.where("text is not null").select("key", F.posexplode(trimmed).alias("pos", "content"))
-    lines = lines.select("key", "pos", F.xxhash64("content").alias("line"), (F.length("content") - F.length(F.replace("content", F.lit(" "), F.lit(""))) + 1).alias("words"))
-    lines = scratch.keep(lines, "lines")
-    counted = scratch.keep(lines.groupBy("line").agg(F.count("*").alias("size"), F.min(F.struct("key", "pos")).alias("first")).where("size > 1"), "line-ranks")
-    now = scratch.keep(lines.join(counted, "line").select("key", "pos", "line", F.lit(0).cast("long").alias("rank"), "words", "size", F.col("first.key").alias("first_key"), F.col("first.pos").alias("first_pos")), "depth-1")
-    scratch.drop(lines, counted)
-    levels, depth = [now.withColumn("depth", F.lit(1))], 1
+
+    def named(pairs: DataFrame, by: list[str], tag: str) -> DataFrame:
+        groups = pairs.groupBy(*by).agg(F.count("*").alias("size"), F.min(F.struct("key", "pos")).alias("first")).where("size > 1").drop("size")
+        dealt = ranked(groups, scratch, by, "deeper")
+        groups = scratch.keep(dealt, f"ranks-{tag}")
+        scratch.drop(dealt)
+        joined = pairs.join(groups, by).select("key", "pos", "need", F.col("deeper").alias("rank"), F.col("first.key").alias("first_key"), F.col("first.pos").alias("first_pos"))
+        out = scratch.keep(joined, f"depth-{tag}")
+        scratch.drop(groups)
+        return out
+
+    levels = [named(lines.select("key", "pos", "need", "line"), ["line"], "1")]
     while True:
-        ahead = now.select("key", (F.col("pos") - depth).alias("pos"), F.col("line").alias("line2"), F.col("rank").alias("rank2"))
-        pairs = scratch.keep(now.select("key", "pos", "line", "rank").join(ahead, ["key", "pos"]), "pairs")
-        groups = pairs.groupBy("line", "rank", "line2", "rank2").agg(F.count("*").alias("size"), F.min(F.struct("key", "pos")).alias("first")).where("size > 1")
-        # smaller suffixes of the same interval come before
-        inside = "sum(size) over (partition by line, rank order by line2, rank2 rows between unbounded preceding and 1 preceding)"
-        groups = scratch.keep(groups.withColumn("deeper", F.col("rank") + F.coalesce(F.expr(inside), F.lit(0))), "ranks")
-        same = ["line", "rank", "line2", "rank2"]
-        after = pairs.join(groups, same).select("key", "pos", "line", F.col("deeper").alias("rank"), "size", F.col("first.key").alias("first_key"), F.col("first.pos").alias("first_pos"))
-        depth *= 2
-        now = scratch.keep(after, f"depth-{depth}")
-        scratch.drop(pairs, groups)
-        if not now.head(1):
-            break
-        levels.append(now.withColumn("depth", F.lit(depth)).withColumn("words", F.lit(None).cast("int")))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+        depth = 1 << (len(levels) - 1)
+        asked = levels[-1].where(F.col("need") >= len(levels)).select("key", "pos", "need", "rank")
+        ahead = levels[-1].select("key", (F.col("pos") - depth).alias("pos"), F.col("rank").alias("rank2"))
+        pairs = scratch.keep(asked.join(ahead, ["key", "pos"]), "pairs")
+        if not pairs.head(1):
+            return levels
+        levels.append(named(pairs, ["rank", "rank2"], str(2 * depth)))
+        scratch.drop(pairs)
+
+
+def copies(lines: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``key``, ``pos`` and ``size`` of the runs that ``lines`` ask for and whose lines stand earlier as well."""
+    runs = lines.where("size(runs) > 0").select("key", "pos", F.explode("runs").alias("size"))
+    runs = runs.withColumn("k", F.floor(F.log2("size")).cast("int"))
+    out = None
+    for k, level in enumerate(levels):
+        mine = runs.where(F.col("k") == k).join(level.drop("need"), ["key", "pos"])
+        # of exactly 2 ** k lines: the rank alone names the run
+        found = mine.where(f"size = {1 << k} and (key <> first_key or pos <> first_pos)").select("key", "pos", "size")
+        if k:
+            last = level.select("key", F.col("pos").alias("tail"), F.col("rank").alias("rank2"))
+            longer = mine.where(f"size > {1 << k}").withColumn("tail", F.col("pos") + F.col("size") - (1 << k)).join(last, ["key", "tail"])
+            longer = scratch.keep(longer.select("key", "pos", "size", "rank", "rank2"), "longer")
+            by = ["size", "rank", "rank2"]
+            # a run has one first copy, so these are as many rows as runs of different lines
+            first = longer.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("first")).where("n > 1").drop("n")
+            later = longer.join(first, by).where("key <> first.key or pos <> first.pos").select("key", "pos", "size")
+            found = found.union(later)
+        out = found if out is None else out.union(found)
     return out
 
 
-def copies(intervals: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per ``key``: the places ``gone`` of lines that stand in a later copy of a run, and ``deepest`` of its intervals."""
-    later = intervals.where("(key > first_key or (key = first_key and pos > first_pos))").where(f"depth > 1 or words >= {min_words}")
-    # of a deeper interval both first lines are covered at depth 2 already, and so are all others by later suffixes
-    lines = F.when(F.col("depth") == 2, F.array("pos", F.col("pos") + 1)).otherwise(F.array("pos"))
-    hit = later.select("key", "depth", F.explode(lines).alias("pos"))
-    per_line = hit.groupBy("key", "pos").agg(F.max("depth").alias("depth"))
-    return per_line.groupBy("key").agg(F.array_sort(F.collect_list("pos")).alias("gone"), F.max("depth").alias("deepest"))
-
-
 def marked(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row`` (all columns), ``text``, ``kept_text``, ``n_lines``, ``gone`` (places among non-blank lines), ``deepest``."""
+    """``row`` (all columns), ``text``, ``kept_text``, ``n_lines``, ``gone`` (places among non-blank lines)."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows, _ = keyed(docs, scratch, id_col, text_col, with_row=True)
-    found = scratch.keep(copies(suffix_intervals(rows.select("key", "text"), scratch), min_words), "gone")
+    lines = scratch.keep(cut_lines(rows, min_words), "lines")
+    levels = suffix_intervals(lines, scratch)
+    # the runs of one document, as many as twice its lines at most
+    covered = F.flatten(F.transform(F.collect_list(F.struct("pos", "size")), lambda r: F.sequence(r["pos"], r["pos"] + r["size"] - 1)))
+    found = scratch.keep(copies(lines, levels, scratch).groupBy("key").agg(F.array_sort(F.array_distinct(covered)).alias("gone")), "gone")
+    scratch.drop(lines, *levels)
     # by hint alike at every size, so that what is measured on small tables holds for large ones
     out = rows.join(found.hint("merge"), "key", "left")
     lines = _lines()
@@ -102,7 +179,6 @@ def marked(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(rebuilt).alias("kept_text"),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(full)), F.lit(0)).alias("n_lines"),
         F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"),
-        F.coalesce("deepest", F.lit(0)).alias("deepest"),
     )
 
 
@@ -113,7 +189,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_lines``, ``n_removed``, ``n_runs`` (maximal runs removed), ``deepest`` and the ``kept_text``."""
+    """Per row: id, ``n_lines``, ``n_removed``, ``n_runs`` (maximal runs removed) and the ``kept_text``."""
     out = marked(docs, min_words, id_col, text_col)
     runs = F.expr("size(filter(gone, (p, i) -> i = 0 or gone[i - 1] <> p - 1))")
-    return out.select(F.col(f"row.`{id_col}`").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"), F.col("deepest").cast("long").alias("deepest"), "kept_text")
+    return out.select(F.col(f"row.`{id_col}`").alias(id_col), F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"), "kept_text")

@@ -26,22 +26,25 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", "kept_text")
 
 
+#: Runs of 50 words that aren't longer than needed at one end; those that stand earlier as well go.
 OP1_SQL = """
 WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 trimmed AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) AS t FROM cut),
-full_lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM trimmed WHERE t <> ''),
-ahead AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS t2 FROM full_lines),
-copies AS (SELECT doc_id, pos,
-    row_number() OVER (PARTITION BY t ORDER BY doc_id, pos) > 1 AND length(t) - length(replace(t, ' ', '')) + 1 >= 50 AS long_copy,
-    t2 IS NOT NULL AND row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, pos) > 1 AS run_copy FROM ahead),
-gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM copies WHERE long_copy OR run_copy UNION ALL SELECT doc_id, pos + 1 FROM copies WHERE run_copy)),
-runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before <> pos - 1) AS n_runs
+full_lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, len(regexp_extract_all(t, '[^ \\t\\r\\f\\v]+')) AS w FROM trimmed WHERE t <> ''),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM full_lines),
+whole AS (SELECT doc_id, list(t ORDER BY pos) AS ts FROM full_lines GROUP BY 1),
+runs AS (SELECT a.doc_id, a.pos, b.pos AS last FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 49
+    WHERE b.upto - a.upto + a.w >= 50 AND (b.upto - a.upto + a.w - b.w < 50 OR b.upto - a.upto < 50)),
+named AS (SELECT r.*, array_to_string(ts[pos + 1:last + 1], chr(10)) AS content FROM runs r JOIN whole USING (doc_id)),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS copy FROM named) WHERE copy > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM later),
+n_of AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before <> pos - 1) AS n_runs
     FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY 1),
 kept AS (SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.i) FILTER (WHERE g.pos IS NULL) AS kept_text, count(f.pos) AS n_lines
     FROM cut c LEFT JOIN full_lines f ON f.doc_id = c.doc_id AND f.i = c.i LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.pos = f.pos GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
     CASE WHEN n_removed IS NULL THEN d.text WHEN n_removed = n_lines THEN '' ELSE kept_text END AS kept_text
-FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n_of USING (doc_id)
 """
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,24 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Read from the session; only where it is unset (tests on one machine) a temporary folder is made, once per application.
-    """
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="basketloom-")
-        folder = _OWN[app]
-    return folder.rstrip("/")
+from ..sources.shared import file_system, shared_folder
 
 
 class Scratch:
@@ -59,9 +41,8 @@ class Scratch:
 
     def remove(self, path: str | None) -> None:
         if path:
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            files, target = file_system(self.spark, path)
+            files.delete(target, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -95,7 +76,8 @@ def ranked(df: DataFrame, scratch: Scratch, order: list[str | Column], name: str
     """``df`` with its 0-based position in the total order.
 
     The rows are dealt by range, sorted and written with partition and position; the counts of the partitions, one
-    row each, are added up at the driver and joined back. No task sees more than its range.
+    row each, are added up at the driver and joined back. No task sees more than its range. The written rows are those
+    that ``Scratch.drop`` deletes.
     """
     n = partitions_for(df.sparkSession)
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -107,7 +89,9 @@ def ranked(df: DataFrame, scratch: Scratch, order: list[str | Column], name: str
         offsets.append((part, before - first))
         before += count
     table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _shift long")
-    return dealt.join(F.broadcast(table), "_part").withColumn(name, F.col("_pos") + F.col("_shift")).drop("_part", "_pos", "_shift")
+    out = dealt.join(F.broadcast(table), "_part").withColumn(name, F.col("_pos") + F.col("_shift")).drop("_part", "_pos", "_shift")
+    out._scratch_path = dealt._scratch_path
+    return out
 
 
 def batches(stream: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -19,62 +19,72 @@ def docs(spark, rows):
 # ------------------------------------------------------------------ lines
 
 
+def full_lines(text):
+    return [x for x in (line.strip(" \t\r\f\v") for line in (text or "").split("\n")) if x]
+
+
 def deleted(texts, min_words=50):
-    """By definition: a line goes if a run of two lines, or a long line, that covers it stood before."""
+    """By definition: a line goes if any run of ``min_words`` words that covers it stood before, whatever its lines."""
     seen, gone = set(), []
     for t in texts:
-        own = [x.strip(" \t\r\f\v") for x in (t or "").split("\n")]
-        own = [x for x in own if x] if t is not None else []
+        own = full_lines(t)
         mine = set()
         for i in range(len(own)):
-            for d in (1, 2):
-                run = tuple(own[i : i + d])
-                if len(run) < d:
-                    continue
-                if run in seen and (d > 1 or run[0].count(" ") + 1 >= min_words):
-                    mine |= set(range(i, i + d))
-                seen.add(run)
+            for j in range(i + 1, len(own) + 1):
+                if sum(len(x.split()) for x in own[i:j]) >= min_words:
+                    if tuple(own[i:j]) in seen:
+                        mine |= set(range(i, j))
+                    seen.add(tuple(own[i:j]))
         gone.append((len(own), sorted(mine)))
     return gone
 
 
-def test_lines_against_brute_force(spark):
-    rng = random.Random(5)
-    long = " ".join(["w%d" % i for i in range(50)])
-    texts = ["\n".join(rng.choice(["a", "b", "c", " d ", "", long, "e f"]) for _ in range(rng.randint(0, 9))) for _ in range(60)] + [None, ""]
-    got = {r.doc_id: r for r in linededup.report(docs(spark, list(enumerate(texts)))).collect()}
-    for i, (n, gone) in enumerate(deleted(texts)):
+@pytest.mark.parametrize("least", [1, 4, 7])
+def test_lines_against_brute_force(spark, least):
+    rng = random.Random(least)
+    long = " ".join(["w%d" % i for i in range(9)])
+    texts = ["\n".join(rng.choice(["a", "b", "c", " d ", "", long, "e\tf", "g h i"]) for _ in range(rng.randint(0, 24))) for _ in range(60)] + [None, ""]
+    got = {r.doc_id: r for r in linededup.report(docs(spark, list(enumerate(texts))), least).collect()}
+    for i, (n, gone) in enumerate(deleted(texts, least)):
         assert (got[i].n_lines, got[i].n_removed) == (n, len(gone)), (i, texts[i])
         assert got[i].n_runs == sum(p - 1 not in gone for p in gone)
     assert got[60].kept_text is None and got[61].kept_text == ""
 
 
+def test_runs_deeper_than_two_lines_decide(spark):
+    """Lines and pairs of lines are common; only the run of five that stands twice has 50 words."""
+    line = lambda c: " ".join(f"{c}{i}" for i in range(10))
+    run = "\n".join(map(line, "abcde"))
+    others = ["\n".join(map(line, x)) for x in ("ab", "bc", "cd", "de", "abxde", "xabcdy")]
+    rows = list(enumerate([*others, run, "first\n" + run + "\nlast"]))
+    got = {r.doc_id: r.kept_text for r in linededup.report(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(8)] == [*others, run, "first\nlast"]
+
+
 def test_intervals_are_a_suffix_array(spark):
     rng = random.Random(1)
     rows = [(k, "\n".join(rng.choice("abc") for _ in range(12))) for k in range(5)]
-    df = spark.createDataFrame(rows, "key long, text string")
-    got = linededup.suffix_intervals(df, util.Scratch(spark, "t")).collect()
-    seqs = {k: t.split("\n") for k, t in rows}
-    places = [(k, p) for k in seqs for p in range(12)]
-    for depth in (1, 2, 4, 8):
+    lines = linededup.cut_lines(spark.createDataFrame(rows, "key long, text string"), 9).withColumn("need", F.lit(3))
+    levels = linededup.suffix_intervals(lines, util.Scratch(spark, "t"))
+    ids = {(r.key, r.pos): bytes(r.line) for r in lines.collect()}
+    for k, level in enumerate(levels):
+        depth = 1 << k
+        prefix = {(key, p): tuple(ids[key, p + i] for i in range(depth)) for key, p in ids if (key, p + depth - 1) in ids}
         groups = {}
-        for k, p in places:
-            if p + depth <= 12:
-                groups.setdefault(tuple(seqs[k][p : p + depth]), []).append((k, p))
-        told = {(r.key, r.pos): (r["size"], (r.first_key, r.first_pos), r.line, r["rank"]) for r in got if r.depth == depth}
-        wanted = {x: (len(g), min(g)) for g in groups.values() if len(g) > 1 for x in g}
-        assert {x: v[:2] for x, v in told.items()} == wanted
-        intervals = sorted({(v[2], v[3], v[0]) for v in told.values()})
-        assert all(a[0] != b[0] or a[1] + a[2] <= b[1] for a, b in zip(intervals, intervals[1:]))
-        assert len(intervals) == sum(len(g) > 1 for g in groups.values())
+        for place, run in prefix.items():
+            groups.setdefault(run, []).append(place)
+        ranks = {run: i for i, run in enumerate(sorted(run for run, at in groups.items() if len(at) > 1))}
+        got = {(r.key, r.pos): (r["rank"], (r.first_key, r.first_pos)) for r in level.collect()}
+        assert got == {at: (ranks[run], min(groups[run])) for at, run in prefix.items() if run in ranks}
+    assert len(levels) == 4
 
 
 def test_lines_of_repeated_rows_and_copies(spark):
     rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "x\na\nb"), (2, "b\n\nc\nlast"), (3, "only"), (4, "only")]
-    out = linededup.deduplicate(docs(spark, rows))
+    out = linededup.deduplicate(docs(spark, rows), 2)
     assert out.columns == ["doc_id", "text", "component", "key", "rep"]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "a\nb\nc"), (None, "x"), (2, "\nlast"), (3, "only"), (4, "only")], key=str)
-    assert linededup.deduplicate(docs(spark, rows).where("false")).count() == 0
+    assert linededup.deduplicate(docs(spark, rows).where("false"), 2).count() == 0
 
 
 def test_very_long_document(spark):
