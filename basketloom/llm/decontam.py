@@ -7,12 +7,13 @@ Karp-Rabin) and compared word by word, are marked in both, until none of ``LEAST
 item's words in tiles, in whatever order they stand, is its coverage; a document is contaminated by an item whose
 coverage is at least ``THRESHOLD``.
 
-The items are broadcast in portions of bounded size; further portions are further passes over the same rows, without
-a shuffle.
+The items are broadcast in portions of bounded size; further portions are further passes over the rows as the one
+before wrote them, without a shuffle, so one portion is held at a time.
 
 Defined cases: a null or empty document is clean. Items without words match nothing; items shorter than ``LEAST``
-words must be found whole. Each row is judged by itself, so null or repeated ids are kept as they are. Ties between
-items go to the one that stands first by id. Empty tables give no rows, or clean rows. Other columns are not read.
+words must be found whole. Each row is judged by itself, so null or repeated ids are kept as they are. An item's id may
+be of any type that sorts; an item without id contaminates like any other, under a null id. Ties between items go to
+the one that stands first by id, nulls last. Empty tables give no rows, or clean rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import batches, small_batches
-from .words import BASE, powers, shingle_hashes, word_hashes
+from .util import Scratch, batches, small_batches
+from .words import BASE, INVERSE, powers, shingle_hashes, word_hashes
 
 LEAST = 4
 THRESHOLD = 0.5
@@ -43,68 +44,78 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(texts, gap=GAP)
 
 
-def _windows(words: np.ndarray, marked: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the windows of ``length`` unmarked words, and their Karp-Rabin hashes."""
-    n = len(words) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    covered = np.concatenate(([0], np.cumsum(marked)))
-    at = np.flatnonzero(covered[length:] == covered[:-length])
-    up = powers(BASE, len(words) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:-1])))
+class _Sequence:
+    """Words of one side of a tiling, their marks, and Karp-Rabin hashes of their windows."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.marked = np.zeros(len(words), bool)
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers(BASE, len(words)))))
         # brought to one power, so that equal windows have equal hashes wherever they stand
-        return at, (total[at + length] - total[at]) * up[len(words) - at]
+        self.down = powers(INVERSE, len(words) + 1)
 
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows of ``length`` unmarked words, and their hashes."""
+        if length > len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        covered = np.concatenate(([0], np.cumsum(self.marked)))
+        at = np.flatnonzero(covered[length:] == covered[:-length])
+        with np.errstate(over="ignore"):
+            return at, (self.total[at + length] - self.total[at]) * self.down[at]
 
-def _longest(item, doc, marked_item, marked_doc, least: int) -> tuple[int, list[tuple[int, int]]]:
-    """Length and places of the longest matches of unmarked words, of ``least`` words at least."""
-    length, best, found = least, 0, []
-    while True:
-        a, ha = _windows(item, marked_item, length)
-        b, hb = _windows(doc, marked_doc, length)
-        # the two sequences differ in length; bring both to the same power
-        ha, hb = _level(ha, len(item), len(doc)), _level(hb, len(doc), len(item))
-        order = np.argsort(hb, kind="stable")
-        low, high = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-        matches = [(int(i), int(b[order[k]])) for i, lo, hi in zip(a, low, high) for k in range(lo, hi)]
-        matches = [(i, j) for i, j in matches if (item[i : i + length] == doc[j : j + length]).all()]
-        if not matches:
-            return best, found
-        best, found = 0, []
-        seen = set(matches)
-        for i, j in matches:
-            if (i - 1, j - 1) in seen:  # a later part of a match
-                continue
-            n = length
-            while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not marked_item[i + n] and not marked_doc[j + n]:
-                n += 1
-            if n > best:
-                best, found = n, []
-            if n == best:
-                found.append((i, j))
-        return best, found
+    def longest(self) -> int:
+        """Length of the longest stretch of unmarked words."""
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], self.marked, [True])).astype(np.int8)))
+        return int((edge[1::2] - edge[::2]).max(initial=0))
 
 
-def _level(h: np.ndarray, own: int, other: int) -> np.ndarray:
-    lift = pow(BASE, max(other - own, 0), 1 << 64)
-    with np.errstate(over="ignore"):
-        return h * np.uint64(lift)
+def _share(item: _Sequence, doc: _Sequence, length: int) -> bool:
+    a, b = item.windows(length)[1], doc.windows(length)[1]
+    return bool(len(a) and len(b) and np.isin(a, b).any())
 
 
 def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in doc, words) of two word sequences; ties go to the first places."""
-    marked_item, marked_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    tiles = []
+    """Tiles (place in item, place in doc, words) of two word sequences; ties go to the first places.
+
+    A window that both share holds shorter ones that both share, so the greatest length is found by halving; places of
+    that length are then taken in order. No pairs of places are listed, however repetitive the texts are.
+    """
+    x, y = _Sequence(item), _Sequence(doc)
+    tiles: list[tuple[int, int, int]] = []
+    high = max(len(item), len(doc))
     while True:
-        n, found = _longest(item, doc, marked_item, marked_doc, least)
-        if not found:
+        high = min(high, x.longest(), y.longest())
+        low = least - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if _share(x, y, middle) else (low, middle - 1)
+        if high < least:
             return tiles
-        for i, j in sorted(found):
-            if not marked_item[i : i + n].any() and not marked_doc[j : j + n].any():
-                marked_item[i : i + n] = True
-                marked_doc[j : j + n] = True
-                tiles.append((i, j, n))
+        at_x, hash_x = x.windows(high)
+        at_y, hash_y = y.windows(high)
+        order = np.argsort(hash_y, kind="stable")
+        sorted_y, places = hash_y[order], at_y[order]
+        begin = np.searchsorted(sorted_y, hash_x, "left").tolist()
+        end = np.searchsorted(sorted_y, hash_x, "right").tolist()
+        # of each run of equal hashes, the first place that may still be free; marks only grow
+        free: dict[int, int] = {}
+        before = len(tiles)
+        for i, lo, hi in zip(at_x.tolist(), begin, end):
+            if lo == hi or x.marked[i] or x.marked[i + high - 1]:
+                continue
+            k = free.get(lo, lo)
+            # tiles of one round are of one length, so a window is touched only at its ends
+            while k < hi and (y.marked[places[k]] or y.marked[places[k] + high - 1] or (item[i : i + high] != doc[places[k] : places[k] + high]).any()):
+                k += 1
+            free[lo] = k
+            if k < hi:
+                j = int(places[k])
+                x.marked[i : i + high] = True
+                y.marked[j : j + high] = True
+                tiles.append((i, j, high))
+        if len(tiles) == before:  # only hashes were equal
+            high -= 1
 
 
 class Index:
@@ -172,11 +183,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: floa
     """``row`` (a struct of the columns ``keep``) and ``found``: item and coverage, the greatest coverage first."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col("text").alias("item")).where("item is not null")
+    scratch = Scratch(spark, "decontam")
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col("text").alias("item")).where("item is not null")
+    kind = dict(items.dtypes)["item_id"]
     total = items.agg(F.sum(F.length("item"))).first()[0] or 0
     portions = max(1, math.ceil(total / portion))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.withColumn("found", F.expr("cast(array() as array<struct<item_id:bigint,coverage:double>>)"))
+    rows = rows.withColumn("found", F.expr(f"cast(array() as array<struct<item_id:{kind},coverage:double>>)"))
     for p in range(portions):
         mine = items.where(F.pmod(F.xxhash64("item", "item_id"), F.lit(portions)) == p).orderBy("item_id", "item").collect()
         if not mine:
@@ -188,12 +201,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: floa
             for batch in batches(stream, most=1 << 20):
                 found = batch.column("found").to_pylist()
                 for mine, hits in zip(found, shared.value.covered(normal(batch.column("text")), threshold)):
-                    mine.extend({"item_id": ids[k], "coverage": share} for k, share in sorted(hits))
+                    mine.extend({"item_id": ids[k], "coverage": share} for k, share in hits)
+                    mine.sort(key=lambda x: (-x["coverage"], x["item_id"] is None, x["item_id"]))
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(found, batch.schema.field("found").type)], names=["row", "text", "found"])
 
         rows = rows.mapInArrow(run, rows.schema)
-    ordered = F.array_sort("found", lambda a, b: F.when(a["coverage"] > b["coverage"], -1).when(a["coverage"] < b["coverage"], 1).when(a["item_id"] < b["item_id"], -1).when(a["item_id"] > b["item_id"], 1).otherwise(0))
-    return rows.select("row", ordered.alias("found"))
+        if portions > 1:
+            # written, so that no two portions are held at once
+            rows = scratch.keep(rows, f"portion-{p}")
+            shared.destroy()
+    return rows.select("row", "found")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
