@@ -4,7 +4,7 @@ Both models read words (see ``words``), count words and pairs of words exactly,
 and are smoothed alike: P(w | h) = (c(h, w) + K P(w)) / (c(h) + K) with P(w) = (c(w) + 1) / (N + V), where V is the
 number of distinct words counted, ``WORDS`` at least. The background is counted over all documents, the target over
 those marked. A document's score is the mean of -ln P_target + ln P_background over its words; low scores are like the
-target.
+target. A document that was counted is scored by what the others add up to: its own words and pairs are taken off first.
 
 Tasks cut their rows into batches of about ``BATCH`` bytes of text. A batch sends each of its distinct keys once, with
 its counts, to the range of hashes the key is in; there are more ranges for more text, so that a range stays small.
@@ -40,7 +40,7 @@ K = 2.0
 FAN = 512
 RANGE = 8 << 20
 #: Bytes of text of a batch, and of those hashed at a time.
-BATCH, PIECE = 18 << 20, 2 << 20
+BATCH, PIECE = 12 << 20, 1 << 20
 START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -57,13 +57,14 @@ def classes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return words, before, pair, counts
 
 
-def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``classes`` of many texts, piece by piece."""
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, pairs and numbers of words as of ``classes``, of many texts, piece by piece."""
     pieces, start, size = [], 0, 0
     for i, text in enumerate(texts):
         size += len(text)
         if size >= PIECE or i == len(texts) - 1:
-            pieces.append(classes(texts[start : i + 1]))
+            words, _, pair, counts = classes(texts[start : i + 1])
+            pieces.append((words, pair, counts))
             start, size = i + 1, 0
     return tuple(np.concatenate(x) for x in zip(*pieces))
 
@@ -120,17 +121,34 @@ ASKED = "batch long, range long, wants boolean, keys binary, everything binary,
 TOLD = "batch long, range long, n_keys binary, everything binary, target binary, docs binary, vocabulary long, total long, total_target long"
 
 
-def _keys(word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
-    """Distinct words, as such or as the word before, and distinct pairs."""
-    firsts = before[:0] if not (before == START).any() else np.array([START])
-    return [np.union1d(np.unique(word), firsts), np.unique(pair)]
+def _placed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, and the place of each value among them."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    places = np.empty(len(x), dtype=np.int32)
+    places[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], places
 
 
-def _counts(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(keys), np.int64)
-    some, n = np.unique(found, return_counts=True)
-    out[np.searchsorted(keys, some)] = n
-    return out
+def _keys(word: np.ndarray, pair: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct words, as such or as the word before, and distinct pairs; places of words, words before and pairs."""
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    words, at = _placed(np.append(word, START) if len(word) else word)
+    before = np.empty(len(word), dtype=np.int32)
+    if len(word):
+        before[1:] = at[:-2]
+        before[starts] = at[-1]
+        at = at[:-1]
+    pairs, of_pair = _placed(pair)
+    return [words, pairs], [at, before, of_pair]
+
+
+def _own(places: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """How often each place stands in its own text."""
+    _, same = _placed(text_of * np.int64(int(places.max(initial=0)) + 1) + places)
+    return np.bincount(same).astype(np.int32)[same] if len(same) else same
 
 
 def _split(data: bytes, sizes: np.ndarray) -> list[np.ndarray]:
@@ -144,17 +162,18 @@ def _asker(ranges: int):
     def ask(stream):
         task, made = TaskContext.get().partitionId(), 0
         for table in _gathered(stream):
-            word, before, pair, counts = _hashed(raw(table.column("text").combine_chunks()))
+            word, pair, counts = _hashed(raw(table.column("text").combine_chunks()))
             flag = lambda name: np.array(table.column(name).to_pylist(), dtype=bool)
             scored = flag("scored")
             counted, chosen = np.repeat(flag("counted"), counts), np.repeat(flag("chosen") & flag("counted"), counts)
-            docs = _ipc(table.filter(pa.array(scored)).select(["id", "text"])) if scored.any() else None
-            mark = hashlib.blake2b(f"{task} {made} ".encode() + pair.tobytes(), digest_size=8).digest()
+            docs = _ipc(table.filter(pa.array(scored)).select(["id", "text", "counted", "chosen"])) if scored.any() else None
+            mark = hashlib.blake2b(f"{task} {made} ".encode() + pair.data, digest_size=8).digest()
             batch = int.from_bytes(mark, "little") >> 1
             made += 1
-            keys = _keys(word, before, pair)
-            sums = [[_counts(k, x[which]) for k, x in zip((keys[0], *keys), (word, before, pair))] for which in (counted, chosen)]
-            del word, before, pair, counted, chosen
+            keys, places = _keys(word, pair, counts)
+            del word, pair
+            sums = [[np.bincount(x[which], minlength=len(k)) for k, x in zip((keys[0], *keys), places)] for which in (counted, chosen)]
+            del counted, chosen, places
             # the keys of a range stand together, as ranges are cut by the leading bits
             ends = [np.searchsorted(k >> shift, np.arange(ranges + 1, dtype=np.uint64)) for k in keys]
             rows = []
@@ -183,7 +202,7 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
     back, totals = [[[] for _ in parts] for _ in given], []
     vocabulary = 0
     for part in range(2):
-        _, place = np.unique(np.concatenate([p[part] for p in parts]), return_inverse=True)
+        _, place = _placed(np.concatenate([p[part] for p in parts]))
         ends = np.cumsum(sizes[:, part])[:-1]
         for kind in ((0, 1), (2,))[part]:
             for which, of in enumerate(given):
@@ -207,21 +226,32 @@ def _judge(group: pd.DataFrame, vocabulary: int, totals: tuple[int, int]) -> pd.
     if len(docs) != 1:
         raise ValueError("a batch of texts was lost")
     table = pa.ipc.open_stream(docs.iloc[0]).read_all()
-    word, before, pair, counts = _hashed(raw(table.column("text").combine_chunks()))
-    keys = _keys(word, before, pair)
-    places = [np.searchsorted(k, x) for k, x in zip((keys[0], *keys), (word, before, pair))]
+    word, pair, counts = _hashed(raw(table.column("text").combine_chunks()))
+    keys, places = _keys(word, pair, counts)
+    del word, pair
     sizes = [np.frombuffer(x, "<u4") for x in told.n_keys]
     if [sum(int(n[i]) for n in sizes) for i in range(2)] != [len(k) for k in keys]:
         raise ValueError("the sums of a batch differ from its keys")
-    del word, before, pair, keys
-    text_of = np.repeat(np.arange(len(counts)), counts)
+    del keys
+    text_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    counted = np.array(table.column("counted").to_pylist(), dtype=bool)
+    chosen = counted & np.array(table.column("chosen").to_pylist(), dtype=bool)
+    own = [_own(x, text_of) for x in places]
     none = counts == 0
     columns = []
-    for name, total in zip(("target", "everything"), totals):
+    for name, total, held in zip(("target", "everything"), totals, (chosen, counted)):
         pieces = [_split(x, n) for x, n in zip(told[name], sizes)] or [[np.zeros(0, np.int64)] * 3]
-        sums = [np.concatenate([x[kind] for x in pieces])[places[kind]].astype(np.float64) for kind in range(3)]
-        word, history, pair = sums
-        losses = np.log(history + K) - np.log(pair + K * (word + 1) / (total + vocabulary))
+        sums = [np.concatenate([x[kind] for x in pieces]) for kind in range(3)]
+        del pieces
+        # a text is scored as if it hadn't been counted itself
+        mine = held[text_of]
+        left = lambda kind: (sums[kind][places[kind]] - own[kind] * mine).astype(np.float64)  # noqa: B023, E731
+        losses = left(0)
+        losses += 1
+        losses *= K / ((total - counts * held)[text_of] + vocabulary)
+        losses += left(2)
+        np.log(losses, out=losses)
+        losses = np.log(left(1) + K) - losses
         columns.append(np.bincount(text_of, weights=losses, minlength=len(counts)) / np.maximum(counts, 1))
     columns.append(columns[0] - columns[1])
     masked = [pa.array(x, pa.float64(), mask=none) for x in columns]

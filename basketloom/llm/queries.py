@@ -161,12 +161,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+#: Up to so many marked ids are broadcast (about 50 MB); more are joined by a merge, which moves the texts.
+MARKS = 1_000_000
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import lmscore
+    from . import lmscore, util
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("chosen"))
-    marked = docs.join(good.hint("merge"), "doc_id", "left")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = util.Scratch(spark, "lm-marks").keep(good.withColumn("chosen", F.lit(True)), "marks")
+    marked = docs.join(F.broadcast(good) if good.count() <= MARKS else good.hint("merge"), "doc_id", "left")
     return lmscore.score(marked, lmscore.fit(marked, F.col("chosen"), text_bytes=lmscore.length(docs)))
 
 

@@ -190,6 +190,67 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert langid.identify(df.where("false"), model).count() == 0
 
 
+def grams(text):
+    """Hash classes of the n-grams of one text, by definition."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    chars = [ord(c) for c in " " + " ".join(words) + " "] if words else []
+    out = []
+    for n in range(1, langid.ORDER + 1):
+        for i in range(len(chars) - n + 1):
+            if chars[i] == 32 and chars[i + n - 1] == 32:
+                continue
+            h = 0
+            for c in chars[i : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+            h = (h * 0x9E3779B1 + n * 0x85EBCA6B) & 0xFFFFFFFF
+            out.append((h ^ h >> 15) % langid.BUCKETS)
+    return out
+
+
+def languages_brute(rows, learnt):
+    counts, n = {}, Counter()
+    for _, text, lang in learnt:
+        if lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(grams(text))
+            n[lang] += 1
+    out = []
+    for _, text, _ in rows:
+        found = grams(text)
+        if not found or not counts:
+            out.append(("und", 0.0))
+            continue
+        logs = {lang: math.log(n[lang] / n.total()) + sum(math.log(c[g] + 0.5) - math.log(c.total() + 0.5 * langid.BUCKETS) for g in found) for lang, c in counts.items()}
+        best = max(sorted(logs), key=lambda x: logs[x])
+        out.append((best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return out
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    """Also nulls in any column, repeated rows, ties of languages learnt from the same texts, and very long texts."""
+    rng = random.Random(16)
+    roots = {"aa": ["thon", "with", "İng", "er"], "bb": ["èle", "oui", "EAU", "ç"], "tt": ["zz", "yy"], "tu": ["zz", "yy"], None: ["unsaid"]}
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(roots))
+        rows.append((i, " ".join("".join(rng.choices(roots[lang], k=2)) for _ in range(rng.randint(1, 3))) + rng.choice(["", " -- 12", "!"]), lang))
+    rows += [(100 + i, "zz yy", lang) for i, lang in enumerate(["tt", "tu"] * 6)]
+    rows += [rows[0], rows[0], (200, None, "aa"), (201, "", None), (202, "12 ٣ --", "bb"), (None, "with thon", "aa"), (203, "oui " * 60_000, None), (204, "x", None)]
+    spark.createDataFrame([(*r, "s", 1.0, "en") for r in rows], "doc_id long, text string, lang string, source string, score double, lang_pred string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    told = languages_brute(rows, [r for r in rows if not held(r[0])])
+    got = sorted(map(tuple, queries.op7_language_id(spark, str(tmp_path)).select("doc_id", "held_out", "lang_pred", "score").collect()), key=str)
+    for mine, ((i, _, _), (lang, score)) in zip(got, sorted(zip(rows, told), key=lambda x: str((x[0][0], held(x[0][0]), *x[1])))):
+        assert mine[:3] == (i, held(i), lang) and mine[3] == pytest.approx(score, rel=1e-6)
+    assert len(got) == len(rows) and {"aa", "bb", "tt", "und"} <= {x[2] for x in got}
+
+
+def test_language_of_empty_and_unlabelled_tables(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, None, None)], "doc_id long, text string, lang string")
+    for learnt in (df, df.where("false")):
+        assert {r.lang_pred for r in langid.identify(df, langid.train(learnt)).collect()} == {"und"}
+    assert langid.identify(df.where("false"), langid.train(df)).count() == 0
+
+
 def test_ngrams_stay_within_a_text():
     one, many = langid.features([b"ab"]), langid.features([b"ab", b"", b"ab"])
     assert Counter(one[0].tolist()) == Counter(many[0][many[1] == 2].tolist()) and many[2].tolist() == [True, False, True]
@@ -202,12 +263,12 @@ def lm_brute(texts, chosen):
     W = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
     out = []
     cls = [lmscore.classes([(t or "").encode()]) for t in texts]
-    for t, (w, h, p, n) in zip(texts, cls):
+    for own, (t, (w, h, p, n)) in enumerate(zip(texts, cls)):
         losses = []
         for use in (lambda i: chosen[i], lambda i: True):
             cw, ch, cp = Counter(), Counter(), Counter()
             for i, c in enumerate(cls):
-                if use(i):
+                if use(i) and i != own:
                     cw.update(c[0].tolist()), ch.update(c[1].tolist()), cp.update(c[2].tolist())
             total = sum(cw.values())
             prob = [(cp[z] + 2.0 * (cw[x] + 1) / (total + lmscore.WORDS)) / (ch[y] + 2.0) for x, y, z in zip(w.tolist(), h.tolist(), p.tolist())]
@@ -258,11 +319,44 @@ def test_scores_of_many_words_are_those_of_exact_ngrams(spark, monkeypatch, apar
     assert size > 5900 and len(got) == (78 if apart else 153)
     for i, r in got.items():
         assert r.n_tokens == len(split[i])
-        for (cw, ch, cp), loss in zip(models, (r.target_loss, r.background_loss)):
+        for (cw, ch, cp), counted, loss in zip(models, (i % 3 == 0, True), (r.target_loss, r.background_loss)):
+            if counted and not apart:  # held out of its own model
+                w = split[i]
+                cw, ch, cp = cw - Counter(w), ch - Counter([None, *w][: len(w)]), cp - Counter(zip([None, *w], w))
             prob = [(cp[h, w] + 2.0 * (cw[w] + 1) / (cw.total() + size)) / (ch[h] + 2.0) for h, w in zip([None, *split[i]], split[i])]
             assert loss == (pytest.approx(-sum(map(math.log, prob)) / len(prob), rel=1e-9) if prob else None)
 
 
+def test_probabilities_add_up_and_no_loss_is_negative(spark):
+    """Over the whole vocabulary, for a text that is not counted, after any word."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(30)]
+    counted = [(i, " ".join(rng.choice(vocabulary) for _ in range(12)), i % 2 == 0) for i in range(40)]
+    model = lmscore.fit(spark.createDataFrame(counted, "doc_id long, text string, good boolean"), F.col("good"))
+    # the share of what was never counted is spread over the rest of the vocabulary, WORDS - 30 words
+    asked = [f"v3 {w}" for w in vocabulary] + ["v3", "v3 unseen"]
+    got = {r.doc_id: r for r in lmscore.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    for name in ("target_loss", "background_loss"):
+        first = math.exp(-got[30][name])
+        after = [math.exp(-2 * got[i][name]) / first for i in (*range(30), 31)]
+        assert sum(after[:30]) + (lmscore.WORDS - 30) * after[30] == pytest.approx(1, rel=1e-6)
+    assert all(r.target_loss > 0 and r.background_loss > 0 for r in got.values())
+
+
+def test_score_query_holds_labelled_rows_out(spark, tmp_path):
+    texts = ["a b c d", "a b c d", "q r s t", None, "", "a b x y"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a b"), (0, "a b c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (0, 0, 1), (2, 1, None), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op10_lm_score(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, None}
+    by_id = {r.doc_id: r for r in got}
+    chosen = [True, False, True, False, False, False, False, True]
+    for i, (n, a, b) in enumerate(lm_brute([t for _, t in rows], chosen)):
+        mine = by_id[rows[i][0]]
+        assert mine.n_tokens == n and (not n or (mine.target_loss, mine.background_loss) == pytest.approx((a, b), rel=1e-9))
+
+
 # ------------------------------------------------------------------ encoding
 
 
@@ -448,6 +542,23 @@ def test_shards_against_brute_force(spark):
     assert sharding.interleave(df.where("false")).count() == 0
 
 
+def test_shard_query(spark, tmp_path):
+    texts = [None, "", "é", "same", "same", "x" * 50_000] + [f"text {i}" for i in range(60)]
+    table(spark, texts).withColumn("source", F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("s"), F.col("doc_id") % 2))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_sharding(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        assert (got[i].size, got[i].text_crc32, got[i].law, got[i].grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+    shards = [sorted(r.slot for r in got.values() if r.shard == k) for k in range(16)]
+    assert all(x == list(range(len(x))) for x in shards) and max(map(len, shards)) - min(map(len, shards)) <= 1
+    # every shard has the mixture of sources, to a row
+    share = Counter(r.source for r in got.values())
+    for k in range(16):
+        own = Counter(r.source for r in got.values() if r.shard == k)
+        assert all(abs(own[x] - share[x] / 16) <= 2 for x in share)
+
+
 def test_shards_of_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a", "s"), (1, "a", "s"), (None, None, None)], "doc_id long, text string, source string")
     assert sorted(r.slot for r in sharding.interleave(df, shards=1).collect()) == [0, 1, 2]
