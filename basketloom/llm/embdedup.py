@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import Scratch, keyed, partitions_for
+from .util import Scratch, keyed
 
 THRESHOLD = 0.95
 TILE_ROWS = 4096
@@ -35,11 +35,15 @@ SLACK = 1e-5
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Unit vectors as double rows of ``width``; rows that can't be compared are zero."""
     out = np.zeros((len(column), width))
-    for i, x in enumerate(column.to_pylist()):
-        if x is None or any(v is None for v in x):
-            continue
-        out[i, : len(x)] = x
+    lists = column.cast(pa.list_(pa.float64()))
+    flat, ends = lists.values, lists.offsets.to_numpy()
+    size = np.diff(ends)
+    values = flat.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]  # a null component is not a number here
+    row = np.repeat(np.arange(len(column)), size)
+    out[row, np.arange(len(values)) - np.repeat(ends[:-1] - ends[0], size)] = values
     finite = np.isfinite(out).all(axis=1)
+    if column.null_count:
+        finite &= column.is_valid().to_numpy(zero_copy_only=False)
     out[~finite] = 0
     largest = np.abs(out).max(axis=1, keepdims=True) if width else np.zeros((len(out), 1))
     out = np.divide(out, largest, out=np.zeros_like(out), where=largest > 0)
@@ -160,41 +164,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     tiles_of = {c: -(-n // tile_rows) for c, n in placed.groupBy("cell").count().collect()}
     cells = F.create_map(*[F.lit(x).cast("long") for c, n in tiles_of.items() for x in (c, n)]) if tiles_of else F.create_map(F.lit(0).cast("long"), F.lit(1).cast("long"))
 
-    def pack(group):
-        return pd.DataFrame({"cell": [group.cell.iloc[0]], "slot": [group.slot.iloc[0]], "keys": [group.key.to_numpy(np.int64).tobytes()], "units": [b"".join(group.unit)]})
+    def pack(group: pa.Table) -> pa.Table:
+        return pa.table({"cell": group["cell"][:1], "slot": group["slot"][:1], "keys": [group["key"].to_numpy().tobytes()], "units": [b"".join(group["unit"].to_pylist())]})
 
     dealt = placed.withColumn("slot", F.pmod(F.xxhash64("key"), F.element_at(cells, F.col("cell"))))
-    tiles = scratch.keep(dealt.groupBy("cell", "slot").applyInPandas(pack, "cell long, slot long, keys binary, units binary"), "tiles")
+    tiles = scratch.keep(dealt.groupBy("cell", "slot").applyInArrow(pack, "cell long, slot long, keys binary, units binary"), "tiles")
     names = tiles.select("cell", "slot")
     steps = [(x * 100_003 + y) for x in (0, 1) for y in ((-1, 0, 1) if dims > 1 else (0,)) if x or y >= 0]
     near = names.select("cell", "slot", F.explode(F.array(*[(F.col("cell") + s).alias("c") for s in steps])).alias("cell2"))
-    pairs = near.join(names.toDF("cell2", "slot2"), "cell2").where("cell2 <> cell or slot <= slot2")
-    work = pairs.join(tiles, ["cell", "slot"]).join(tiles.toDF("cell2", "slot2", "keys2", "units2"), ["cell2", "slot2"])
-    # each row is some MB: one row per task and batch at most would be ideal, so rows are spread evenly
-    work = work.select("keys", "units", "keys2", "units2", ((F.col("cell") == F.col("cell2")) & (F.col("slot") == F.col("slot2"))).alias("same"))
-
-    def run(keys, units, keys2, units2, same):
-        ka, kb = np.frombuffer(keys, np.int64), np.frombuffer(keys2, np.int64)
-        a, b = np.frombuffer(units).reshape(-1, width), np.frombuffer(units2).reshape(-1, width)
-        return compare(ka, a, kb, b, axes, threshold, same)
-
-    def each(stream):
-        for batch in stream:
-            for r in range(batch.num_rows):
-                found = run(*[batch.column(c)[r].as_py() for c in ("keys", "units", "keys2", "units2", "same")])
-                if found:
-                    counts, edges = found
-                    a = np.concatenate((counts.index.to_numpy(np.int64), edges.a.to_numpy(np.int64)))
-                    b = np.concatenate((np.full(len(counts), -1, np.int64), edges.b.to_numpy(np.int64)))
-                    n = np.concatenate((counts.to_numpy(np.int64), np.zeros(len(edges), np.int64)))
-                    yield pa.RecordBatch.from_pydict({"a": a, "b": b, "n": n})
-
-    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    try:
-        found = scratch.keep(work.repartition(partitions_for(spark)).mapInArrow(each, "a long, b long, n long"), "found")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    # names of tiles that meet; each tile then goes once to every meeting
+    meetings = near.join(names.toDF("cell2", "slot2"), "cell2").where("cell2 <> cell or slot <= slot2")
+    sides = [F.struct("cell", "slot"), F.struct(F.col("cell2").alias("cell"), F.col("slot2").alias("slot"))]
+    member = meetings.select(F.array_distinct(F.array(*sides)).alias("sides")).select("sides", F.explode("sides").alias("tile"))
+    work = member.select("sides", "tile.cell", "tile.slot").join(tiles, ["cell", "slot"]).select("sides", "keys", "units")
+
+    def meet(group: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, np.int64) for x in group["keys"].to_pylist()]
+        units = [np.frombuffer(x).reshape(-1, width) for x in group["units"].to_pylist()]
+        if len(keys) != len(group["sides"][0].as_py()):
+            raise ValueError("a tile was lost")
+        found = compare(keys[0], units[0], keys[-1], units[-1], axes, threshold, len(keys) == 1)
+        if not found:
+            return pa.table({c: pa.array([], pa.int64()) for c in "abn"})
+        counts, edges = found
+        a = np.concatenate((counts.index.to_numpy(np.int64), edges.a.to_numpy(np.int64)))
+        b = np.concatenate((np.full(len(counts), -1, np.int64), edges.b.to_numpy(np.int64)))
+        return pa.table({"a": a, "b": b, "n": np.concatenate((counts.to_numpy(np.int64), np.zeros(len(edges), np.int64)))})
+
+    found = scratch.keep(work.groupBy("sides").applyInArrow(meet, "a long, b long, n long"), "found")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n_links"))
     parts = components(found.where("n = 0").select("a", "b"), scratch)
     scratch.drop(placed, tiles)

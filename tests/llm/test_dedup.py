@@ -147,6 +147,52 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert minhash.near_duplicates(docs(spark, rows).where("false")).count() == 0
 
 
+def test_recall_close_to_the_threshold(spark):
+    """Pairs planted at Jaccard 0.80 to 0.85 of four-word shingles: at least 0.99 of those at the threshold are found."""
+    rng = random.Random(12)
+    rows, linked = [], []
+    for i in range(400):
+        w = [f"p{i}w{k}" for k in range(203)]
+        other = list(w)
+        # of 200 shingles, four change with each word far from the others
+        for k in rng.sample(range(8, 195, 8), 5):
+            other[k] = f"other{i}w{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        linked.append(100 * 180 >= 80 * 220)
+    assert all(linked)  # 180 / 220 = 0.818
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, rows), width=4).collect()}
+    found = sum(got[2 * i + 1].component_id == 2 * i for i in range(400))
+    assert found >= 396
+    assert all(got[2 * i].kept for i in range(400))
+
+
+def test_near_duplicates_among_boilerplate(spark, monkeypatch):
+    """Documents that share a third of their words with all others are candidates of each other, and not linked."""
+    monkeypatch.setattr(minhash, "TILE_SETS", 16)
+    rng = random.Random(13)
+    shared = [f"menu{k}" for k in range(60)]
+    rows = []
+    for i in range(120):
+        own = [f"d{i}w{k}" for k in range(60)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 4 == 0:
+            rows.append((1000 + i, " ".join(shared + own[:-2])))
+    rng.shuffle(rows)
+    rows.sort()
+    _, label = near_brute(rows, 4, 80)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), width=4).collect()}
+    assert [got[i] for i, _ in rows] == [rows[k][0] for k in label]
+
+
+def test_near_duplicates_of_odd_texts(spark):
+    long = "word" * 200_000
+    rows = [(None, None), (1, long), (2, long), (3, "a " * 100_000), (4, "a " * 99_999), (5, None)]
+    got = sorted(map(tuple, minhash.near_duplicates(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 0, None, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)], key=str)
+    none = docs(spark, [(1, None), (2, None)])
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(none).collect()} == {(1, 1, True), (2, 2, True)}
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(3)
     pool = words.mix(np.arange(3000, dtype=np.uint64))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import tiktoken
 from test_dedup import deleted, near_brute
 
@@ -36,7 +37,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     rng = random.Random(11)
     word = lambda: f"{rng.choice(['wor', 'thi', 'een'])}{rng.choice(['ds', 'ng', 'ty'])}{rng.randint(0, 300)}"
     line = lambda: " ".join(word() for _ in range(14))
-    shared = [line(), line(), line()]
+    shared = [line() for _ in range(4)]
     rows = []
     for i in range(24):
         own = [line() for _ in range(4)]
@@ -53,6 +54,40 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert first.columns == docs.columns
 
 
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, `key` string, `row` int, lang_pred string, score double, found string, `kept text` int"
+
+
+def widened(spark, rows):
+    return spark.createDataFrame([(i, t, lang, None, None, "k", 1, "x", 0.5, "f", None) for i, t, lang in rows], WIDE)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_tables(spark, tmp_path, name, stage):
+    """Nulls in any column, null and repeated ids, repeated rows, further columns, and tables without rows."""
+    spark.createDataFrame([(0, ITEM), (1, None), (None, "  ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = " ".join(f"plain{i % 7} words{i}" for i in range(40))
+    other = " ".join(f"quite{i} others{i % 5}" for i in range(40))
+    rows = [(1, text, "en"), (1, text, "en"), (None, other, None), (2, None, None), (None, None, "en"), (3, "", "en"), (4, ITEM, "en"), (5, "\n \n", "de")]
+    docs = widened(spark, rows)
+    out = stage(spark, docs, str(tmp_path))
+    got = out.collect()
+    if name == "tokens":
+        assert sorted(r.n_tokens for r in got)[:2] == [0, 0] and len(got) == len(rows)
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        return
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    texts = [r.text for r in got]
+    told = {
+        "language": [text, text, other, ITEM],
+        "lines": [text, other, None, None, "", ITEM, "\n \n"],
+        "near": [text, other, None, None, "", ITEM, "\n \n"],
+        "benchmark": [text, text, other, None, None, "", "\n \n"],
+    }[name]
+    assert sorted(texts, key=str) == sorted(told, key=str)
+    assert all(r["key"] == "k" and r["row"] == 1 and r.lang_pred == "x" for r in got)
+    assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 def test_registration():
     known = entry.queries()
     assert "pipeline" in known and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
