@@ -34,16 +34,7 @@ from pyspark.sql import functions as F
 from .util import Scratch, batches, keyed, ranked, raw
 
 MIN_WORDS = 50
-_SPACES = " \t\r\f\v"
-
-
-def _lines(text: str = "text"):
-    return F.split(F.col(text), "\n", -1)
-
-
-def _full(lines):
-    """Places of the lines that aren't blank."""
-    return F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x, F.lit(_SPACES)) == "", -1).otherwise(i)), lambda i: i >= 0)
+_SPACES = b" \t\r\f\v"
 
 
 def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +70,7 @@ def _cut(least: int):
         for batch in batches(stream, most=1 << 20):
             keys, places, ids, need, sizes, ends = [], [], [], [], [], [0]
             for key, text in zip(batch.column("key").to_pylist(), raw(batch.column("text"))):
-                full = [x for x in (line.strip(b" \t\r\f\v") for line in text.split(b"\n")) if x]
+                full = [x for x in (line.strip(_SPACES) for line in text.split(b"\n")) if x]
                 first, size = windows(np.array([len(x.split()) for x in full], dtype=np.int64), least)
                 if not len(first):
                     continue
@@ -156,8 +147,28 @@ def copies(lines: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataF
     return out
 
 
+def _rebuilt(place: int):
+    """Texts (field ``place`` of ``row``) without the lines that are gone, and the numbers of lines that aren't blank."""
+
+    def run(stream):
+        for batch in stream:
+            texts, counts = [], []
+            for text, gone in zip(batch.column("row").field(place).cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist()):
+                lines = text.split(b"\n") if text is not None else []
+                full = [i for i, x in enumerate(lines) if x.strip(_SPACES)]
+                counts.append(len(full))
+                if gone:
+                    drop = {full[p] for p in gone}
+                    text = b"" if len(drop) == len(full) else b"\n".join([x for i, x in enumerate(lines) if i not in drop])
+                texts.append(text)
+            kept = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), kept, pa.array(counts, pa.int32()), batch.column("gone")], names=["row", "kept_text", "n_lines", "gone"])
+
+    return run
+
+
 def marked(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row`` (all columns), ``text``, ``kept_text``, ``n_lines``, ``gone`` (places among non-blank lines)."""
+    """``row`` (all columns), ``kept_text``, ``n_lines``, ``gone`` (places among non-blank lines)."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows, _ = keyed(docs, scratch, id_col, text_col, with_row=True)
     lines = scratch.keep(cut_lines(rows, min_words), "lines")
@@ -167,19 +178,9 @@ def marked(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     found = scratch.keep(copies(lines, levels, scratch).groupBy("key").agg(F.array_sort(F.array_distinct(covered)).alias("gone")), "gone")
     scratch.drop(lines, *levels)
     # by hint alike at every size, so that what is measured on small tables holds for large ones
-    out = rows.join(found.hint("merge"), "key", "left")
-    lines = _lines()
-    full = _full(lines)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(F.col("gone"), lambda p: F.get(full, p)))
-    rebuilt = F.when(F.size("gone") == F.size(full), "").otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return out.select(
-        "row",
-        "key",
-        "text",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(rebuilt).alias("kept_text"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(full)), F.lit(0)).alias("n_lines"),
-        F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"),
-    )
+    out = rows.select("key", "row").join(found.hint("merge"), "key", "left").select("row", F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"))
+    schema = out.select("row", F.lit(None).cast("string").alias("kept_text"), F.lit(0).alias("n_lines"), "gone").schema
+    return out.mapInArrow(_rebuilt(docs.columns.index(text_col)), schema)
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
