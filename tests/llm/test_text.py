@@ -60,6 +60,18 @@ def test_urls_against_brute_force(spark, inline):
     assert {r.verdict for r in urlfilter.judge(df, []).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("inline", [512, 0])
+def test_urls_of_odd_tables(spark, inline):
+    """Null ids, clashing columns, repeated rows, a very long url, a rule without a literal token, and no rows."""
+    long = "http://a.com/en/" + "x" * 200_000
+    df = spark.createDataFrame([(None, long, "mine", "old"), (None, long, "mine", "old"), (1, None, None, None)], "page_id long, url string, host string, VERDICT string")
+    rules = [urlfilter.parse("block", "com/en/"), urlfilter.parse("allow", "a.com/--")]
+    got = urlfilter.judge(df, rules, keep=["page_id", "host", "url", "VERDICT"], inline=inline)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert sorted((str(r.page_id), r.host, len(r.path), r["rule"], r.verdict) for r in got.collect()) == [("1", "", 0, None, "allow")] + [("None", "a.com", 200_004, "com/en/", "block")] * 2
+    assert urlfilter.judge(df.where("false"), rules, inline=inline).count() == 0
+
+
 def test_rules_are_filed_by_their_rarest_token():
     filed = {r.text: t for t, r in urlfilter.index([urlfilter.parse(*x) for x in queries.URL_RULES])}
     assert filed == {"com/en/": "en", "example.com/en/7": "en", "net/de/": "net", "example.net/de/8": "net", "org/es/": "org"} or all(t in r for r, t in filed.items())
