@@ -242,3 +242,41 @@ def test_embeddings_of_repeated_ids_and_empty_tables(spark):
     got = sorted(map(tuple, embdedup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, False), (None, 2, 1, False), (2, 0, 2, True)], key=str)
     assert embdedup.near_duplicates(df.where("false")).count() == 0
+
+
+def test_embeddings_in_rounds_and_with_copies(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "ROUND_BYTES", 1)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(5, 24))
+    x = (base[rng.integers(0, 5, 60)] + rng.normal(size=(60, 24)) * 0.2).astype(np.float32)
+    x = x[rng.integers(0, 60, 150)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    unit = x.astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    label = np.arange(150)
+    for _ in range(150):
+        label = np.array([label[link[i]].min() for i in range(150)])
+    got = {r.vec_id: r for r in embdedup.near_duplicates(df, tile_rows=30).collect()}
+    assert len(got) == 150
+    assert [got[i].n_links for i in range(150)] == (link.sum(axis=1) - 1).tolist()
+    assert [got[i].component_id for i in range(150)] == label.tolist()
+
+
+def test_a_class_of_copies_is_not_paired(spark):
+    keys, one = np.arange(2), np.array([[1.0, 0.0], [0.96, 0.28]])
+    counts, edges = embdedup.compare(keys, one, keys, one, np.eye(2), 0.95, True, np.array([1000, 7]), np.array([1000, 7]))
+    assert counts.to_dict() == {0: 7, 1: 1000} and len(edges) == 1
+
+
+@pytest.mark.parametrize("small", [0, 10, 10**6])
+def test_components_at_the_driver_and_by_rounds(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
+    rng = random.Random(small)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(i, i + 1) for i in range(100, 130)]
+    label = list(range(200))
+    for _ in range(200):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long"), util.Scratch(spark, "t")).collect()))
+    assert got == {n: label[n] for a, b in edges if a != b for n in (a, b)}
