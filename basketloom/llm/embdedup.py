@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shuffles_dropped
 from .components import components
 from .util import Scratch, keyed
 
@@ -182,17 +183,12 @@ def _moved_in_rounds(meetings: DataFrame, tiles: DataFrame, meet, schema: str, s
     met = member.select(F.explode("sides").alias("tile")).groupBy("tile.cell", "tile.slot").agg(F.count("*").alias("n"))
     moved = met.join(weight, ["cell", "slot"]).agg(F.sum(F.col("n") * F.col("bytes"))).first()[0] or 0
     rounds = max(1, -(-moved // max(ROUND_BYTES, all_bytes // 2)))
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    held = spark.conf.get(clean, None)
     path = scratch.path("found")
-    spark.conf.set(clean, "true")
-    try:
+    with shuffles_dropped(spark):
         for r in range(rounds):
             mine = member.where(F.pmod(F.xxhash64("sides"), F.lit(rounds)) == r).select("sides", F.explode("sides").alias("tile"))
             work = mine.select("sides", "tile.cell", "tile.slot").join(tiles, ["cell", "slot"]).select("sides", "keys", "rows", "units")
             work.groupBy("sides").applyInArrow(meet, schema).write.mode("append").parquet(path)
-    finally:
-        spark.conf.unset(clean) if held is None else spark.conf.set(clean, held)
     return spark.read.schema(schema).parquet(path)
 
 

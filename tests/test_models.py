@@ -2,10 +2,12 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from basketloom.config import DEFAULT
+from basketloom.operators import embed, skipgram
 from basketloom.plans import models
 
 DATA = Path("/root/testdata/sf0.001")
@@ -30,3 +32,20 @@ def test_training_is_whole(spark, monkeypatch, name):
         starts = models.semantic_starts(spark, str(DATA)).count()
         walks, longest = sentences.agg(F.count("*"), F.max(F.size("items"))).first()
         assert walks == starts * DEFAULT.num_walks and longest == DEFAULT.walk_length
+
+
+@pytest.mark.parametrize("partitions, least", [(1, 4096), (3, 4)])
+def test_vectors_are_trained_in_blocks(spark, monkeypatch, partitions, least):
+    monkeypatch.setattr(skipgram, "LEAST_BLOCK", least)
+    rows = [([10 * (i % 2) + (i * 7 + k * (1 + i % 3)) % 8 for k in range(5)],) for i in range(400)] + [([3, 99, 4],)]
+    v = {r.id: np.array(r.vec) for r in embed.word2vec(spark.createDataFrame(rows, "items array<long>"), dim=8, window=3, min_count=5, epochs=10, partitions=partitions).collect()}
+    assert sorted(v) == [*range(8), *range(10, 18)]
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    same = np.mean([cos(v[a], v[b]) for a in range(8) for b in range(a)])
+    other = np.mean([cos(v[a], v[b + 10]) for a in range(8) for b in range(8)])
+    assert same > other + 0.3 and all(np.isfinite(x).all() for x in v.values())
+
+
+def test_best_of_many_blocks_with_ties():
+    score = np.array([[0.5, 0.9, 0.5, 0.5, -np.inf]])
+    assert [x.tolist() for x in embed.top_of(score, np.array([[7, 1, 3, 5, 2]]), 3)] == [[[0.9, 0.5, 0.5]], [[1, 3, 5]]]
