@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shuffles_dropped
+from ..sources.shared import row_by_row, shuffles_dropped
 from .components import components
 from .util import Scratch, keyed
 
@@ -184,7 +184,7 @@ def _moved_in_rounds(meetings: DataFrame, tiles: DataFrame, meet, schema: str, s
     moved = met.join(weight, ["cell", "slot"]).agg(F.sum(F.col("n") * F.col("bytes"))).first()[0] or 0
     rounds = max(1, -(-moved // max(ROUND_BYTES, all_bytes // 2)))
     path = scratch.path("found")
-    with shuffles_dropped(spark):
+    with shuffles_dropped(spark), row_by_row(spark):
         for r in range(rounds):
             mine = member.where(F.pmod(F.xxhash64("sides"), F.lit(rounds)) == r).select("sides", F.explode("sides").alias("tile"))
             work = mine.select("sides", "tile.cell", "tile.slot").join(tiles, ["cell", "slot"]).select("sides", "keys", "rows", "units")
