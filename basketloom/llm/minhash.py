@@ -29,6 +29,8 @@ from .components import components
 from .util import Scratch, batches, keyed, raw
 from .words import mix, shingle_hashes, word_hashes
 
+#: Bytes of text whose shingles are held at once.
+SLICE = 1 << 18
 WIDTH = 5
 PERCENT = 80
 BANDS = 24
@@ -73,7 +75,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 
 def _signed(width: int, bands: int, rows: int):
     def run(stream):
-        for batch in batches(stream, most=1 << 20):
+        for batch in batches(stream, most=SLICE):
             sets = shingle_sets(raw(batch.column("text")), width)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(sizes)
@@ -99,7 +101,7 @@ def _signed(width: int, bands: int, rows: int):
 
 def _sets(width: int):
     def run(stream):
-        for batch in batches(stream, most=1 << 20):
+        for batch in batches(stream, most=SLICE):
             sets = shingle_sets(raw(batch.column("text")), width)
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
             values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64), pa.int64())

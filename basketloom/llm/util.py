@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -106,6 +107,15 @@ def batches(stream: Iterator[pa.RecordBatch], column: str = "text", most: int =
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Hands free memory to the system: a Python worker stays for the tasks and stages after this one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -2,15 +2,19 @@
 
 import hashlib
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from test_dedup import deleted, near_brute
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from basketloom.llm import bytebpe, queries
+from basketloom.llm import bytebpe, langid, minhash, queries
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards mix potent brews"
 
@@ -88,6 +92,20 @@ def test_stages_on_odd_tables(spark, tmp_path, name, stage):
     assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
 
 
+def test_steps_hold_little_of_a_batch_at_once():
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice(['wor', 'thi', 'een'])}{rng.choice(['ds', 'ng', 'ty'])}" for _ in range(500)) for _ in range(512)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(512)), "id": list(range(512)), "row": texts, "lang": ["en", "de"] * 256, "text": texts})
+    model = SimpleNamespace(value=langid.LanguageModel(["de", "en"], np.zeros((2, langid.BUCKETS)), np.zeros(2)))
+    for step in (langid._count, langid._predict(model), minhash._signed(5, 24, 4), minhash._sets(5)):
+        list(step(iter([batch.slice(0, 2)])))  # tables that are made once
+        tracemalloc.start()
+        assert sum(x.num_rows for x in step(iter([batch]))) >= 2
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 64 << 20
+
+
 def test_registration():
     known = entry.queries()
     assert "pipeline" in known and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
