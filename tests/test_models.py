@@ -46,6 +46,14 @@ def test_vectors_are_trained_in_blocks(spark, monkeypatch, partitions, least):
     assert same > other + 0.3 and all(np.isfinite(x).all() for x in v.values())
 
 
+def test_sentences_of_a_plan_that_is_laid_out_already(spark, tmp_path):
+    spark.createDataFrame([(i, i % 7) for i in range(60)], "o long, p long").write.parquet(f"{tmp_path}/lines")
+    held = spark.read.parquet(f"{tmp_path}/lines").where("p >= 0").persist()
+    held._jdf.queryExecution().executedPlan().supportsColumnar()
+    sentences = held.groupBy((F.col("o") / 5).cast("int")).agg(F.collect_list("p").alias("items")).select("items")
+    assert embed.word2vec(sentences, dim=4, window=2, min_count=1).count() == 7
+
+
 def test_best_of_many_blocks_with_ties():
     score = np.array([[0.5, 0.9, 0.5, 0.5, -np.inf]])
     assert [x.tolist() for x in embed.top_of(score, np.array([[7, 1, 3, 5, 2]]), 3)] == [[[0.9, 0.5, 0.5]], [[1, 3, 5]]]

@@ -162,6 +162,17 @@ def test_walks_against_brute_force(spark, edges, products):
     assert got == walked(edges, products, 3, 6, 0.5)
 
 
+@pytest.mark.parametrize("most", [-1, 100])
+def test_walks_in_memory_and_by_joins(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "SMALL_GRAPH", most)
+    edges, products = [(i, i * i % 12, 3) for i in range(1, 11)], [(i, None if i % 5 == 0 else i % 3) for i in range(14)] + [(20, 9)]
+    e, p = spark.createDataFrame(edges, "a long, b long, cnt long"), spark.createDataFrame(products, "product_id long, aisle_id long")
+    got = graph.walks(e, p, 4, 7)
+    plan = got._jdf.queryExecution().toString()
+    assert ("MapInArrow" in plan) == (most > 0) and ("Join" in plan) == (most < 0)
+    assert {r.walk_id: r["items"] for r in got.collect()} == walked(edges, products, 4, 7, 0.5)
+
+
 def test_indexed_numbers_ids_in_order(spark):
     ids = [5, 5, None, -7, 10**12, 0, 3]
     got = graph.indexed(spark.createDataFrame([(i,) for i in ids], "node long"), "node", "i").orderBy("i").collect()
