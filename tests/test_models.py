@@ -54,6 +54,14 @@ def test_sentences_of_a_plan_that_is_laid_out_already(spark, tmp_path):
     assert embed.word2vec(sentences, dim=4, window=2, min_count=1).count() == 7
 
 
+def test_sums_of_rows():
+    rng = np.random.default_rng(3)
+    at = np.concatenate((rng.integers(0, 40, 60), np.full(50, 7), [99]))
+    change, order = rng.random((len(at), 3)), np.argsort(at, kind="stable")
+    rows, first = np.unique(at[order], return_index=True)
+    assert np.allclose(skipgram.sums(change, order, first), [change[at == r].sum(axis=0) for r in rows])
+
+
 def test_best_of_many_blocks_with_ties():
     score = np.array([[0.5, 0.9, 0.5, 0.5, -np.inf]])
     assert [x.tolist() for x in embed.top_of(score, np.array([[7, 1, 3, 5, 2]]), 3)] == [[[0.9, 0.5, 0.5]], [[1, 3, 5]]]
