@@ -301,3 +301,14 @@ def test_ensemble_keeps_its_models_when_stored(spark, tmp_path):
     assert rows(back.recommend(asked)) == rows(e.recommend(asked)) and {r.a for r in back.recommend(asked).collect()} == {3}
     assert back.recommend(asked, k=4).count() > 2 and back.compare(asked).count() >= 0
     assert Ensemble.load(spark, f"{tmp_path}/e", with_models=False).settings == e.settings
+
+
+def test_pairs_counted_already_serve_both_models(spark, monkeypatch):
+    lines = spark.createDataFrame([(o, i, p) for o in range(4) for i, p in enumerate((1, 2, 3 + o))], "order_id long, pos long, product_id long")
+    products = spark.createDataFrame([(i, 7) for i in range(1, 5)], "product_id long, aisle_id long")
+    pairs = baskets.directed_pairs(baskets.known_only(lines, products)).where("cnt >= 2")
+    wanted = rows(ItemCF(min_support=2).fit(lines, products).tables["cooc"])
+    monkeypatch.setattr(baskets, "directed_pairs", None)
+    monkeypatch.setattr(KGMetapath, "_train", lambda self, sentences: None)
+    assert rows(ItemCF(min_support=2).fit(lines, products, pairs).tables["cooc"]) == wanted == [(1, 2, 4), (2, 1, 4)]
+    assert rows(KGMetapath(edge_threshold=2).fit(lines, products, pairs=pairs).tables["edges"]) == [(1, 2, 4)]
