@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .util import Scratch, batches, keyed, partitions_for, raw
-from .words import GAP, mix, powers
+from .words import GAP, LOWER, mix, powers, span_hashes
 
 END = 2
 WINDOW = 16
@@ -44,11 +44,9 @@ SEEN = 200_000
 FAN = 1024
 #: Words joined to one text for the library.
 JOINED = 256
+#: Bytes of text whose words are looked up at once.
+LOOKED_UP = 1 << 18
 _BASE = 0x9E3779B97F4A7C55
-_LETTER = "a-zß-öø-ÿ"
-#: A word that normalising only brings to lower case and whose pieces are found by class alone.
-EASY = re.compile(f"[{_LETTER}A-ZÀ-ÖØ-Þ!-&(-@\\[-`{{-~]+")
-PIECES = re.compile(f"[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
 #: What the vocabulary must do to a text before merging for words to be encoded one by one.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -66,18 +64,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Words:
-    """Ids of texts by the tokenizers library, through a cache of white-space separated words.
+    """Ids of texts by the tokenizers library, through a table of white-space separated words.
 
     The vocabulary drops white space and no token crosses it, so a text's ids are those of its words; words are cut at
-    ASCII white space only, any other stays within its word and is left to the library. The exact text of an added
-    token is cut out first and becomes the token's id, as the library does. Texts are brought to lower case and signs
-    at a word's end cut off where that changes no id, so that fewer words differ. Of the words not met yet, those that
-    need no normalising (Latin-1 letters, digits and signs but the apostrophe) are cut into pieces here and merged by
-    the library's model, many at a time; a piece ends with the token that holds the vocabulary's mark of a word's end.
-    All others go through the whole library. A vocabulary that prepares texts in another way is given whole texts.
+    ASCII white space and between a letter or digit and a sign, any other stays within its word and is left to the
+    library. The exact text of an added token is cut out first and becomes the token's id, as the library does. Texts
+    are brought to lower case where that changes no id, so that fewer words differ. Of the words not met yet, those
+    that need no normalising (Latin-1 letters, digits and signs but the apostrophe) are cut into pieces here and merged
+    by the library's model, many at a time; a piece ends with the token that holds the vocabulary's mark of a word's
+    end. All others go through the whole library. A vocabulary that prepares texts in another way is given whole texts.
+
+    Words are found by hash and then compared byte by byte; a word whose hash another one has is encoded anew. A table
+    of more than ``most`` words is begun anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -98,16 +99,23 @@ class Words:
         # bytes that no UTF-8 text holds stand for the end of a text and for added tokens
         self.marks = {name: b" \xfe%d " % i for i, name in enumerate(self.added)}
         self.stop = int(np.iinfo(self.kind).max)
-        self.fixed = {b"\xff": self._bytes([self.stop])} | {self.marks[name].strip(): self._bytes([i]) for name, i in added}
+        self.fixed = {b"\xff": self.stop} | {self.marks[name].strip(): i for name, i in added}
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
         self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.letters = str.maketrans({b: c for b, c in _byte_letters().items() if b != 32})
-        self.cache = dict(self.fixed)
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        self._begin()
+
+    def _begin(self) -> None:
+        """A table of the marks alone."""
+        self.keys, self.first, self.size = _Grown(np.uint64), _Grown(np.int64), _Grown(np.int32)
+        self.id_first, self.id_size = _Grown(np.int64), _Grown(np.int32)
+        self.bytes, self.ids = _Grown(np.uint8), _Grown(self.kind)
+        self.slots = np.full(1 << 12, -1, dtype=np.int32)
+        chars, size = np.frombuffer(b"".join(self.fixed), np.uint8), np.array(list(map(len, self.fixed)))
+        end, ids = np.cumsum(size), np.array(list(self.fixed.values()), dtype=self.kind)
+        self._put(span_hashes(chars, end - size, end), chars, size, ids, np.arange(len(ids)), np.ones(len(ids), np.int64))
 
     @staticmethod
     def _as_assumed(spec: dict) -> bool:
@@ -132,78 +140,161 @@ class Words:
         if not self.by_word:
             lists = [e.ids + [END] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
             return np.array([i for x in lists for i in x], dtype=np.uint32), np.array([len(x) for x in lists], dtype=np.int64)
-        if len(self.cache) > self.most:
-            self.cache = dict(self.fixed)
         joined = b" \xff\n".join(texts) + b" \xff"
         if any(name in joined for name in self.added):
             joined = self.find_added.sub(lambda m: self.marks[m[0]], joined)
+        x = _apart(joined)
         # a capital and a combining mark may have a composed form in lower case only; all such marks begin so
         if b"\xcc" not in joined and b"\xcd" not in joined:
-            joined = joined.lower()
-        index, met = _distinct(_apart(joined))
-        known = self.cache
-        self._learn([w for w in met if w not in known])
-        parts = [known[w] for w in met]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
-        first = np.cumsum(size) - size
-        size = size[index]
-        take = np.repeat(first[index] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        ids = np.frombuffer(b"".join(parts), dtype=self.kind)[take].astype(np.uint32)
+            x = _lower(x)
+        full = ~GAP[x]
+        edge = np.flatnonzero(np.diff(full, prepend=False, append=False))
+        begin, end = edge[::2], edge[1::2]
+        steps = np.unique(np.concatenate(([0], np.searchsorted(begin, np.arange(LOOKED_UP, len(x), LOOKED_UP)), [len(begin)])))
+        ids = np.concatenate([self._of(x[begin[a] : end[b - 1]], begin[a:b] - begin[a], end[a:b] - begin[a]) for a, b in zip(steps[:-1], steps[1:])])
         stops = np.flatnonzero(ids == self.stop)
+        ids = ids.astype(np.uint32)
         ids[stops] = END
         return ids, np.diff(stops, prepend=-1)
 
-    def _learn(self, new: list[bytes]) -> None:
-        # by what is encoded, so that words which differ in case alone are encoded once
-        easy: dict[str, list[bytes]] = {}
-        hard: dict[str, list[bytes]] = {}
-        plain = [w for w in new if w.isalpha()]
-        self.cache.update(zip(plain, self._merged([w.lower().decode() for w in plain], None)))
-        for word in new:
-            if word.isalpha():
-                continue
-            name = word.decode()
-            if EASY.fullmatch(name):
-                easy.setdefault(name.lower(), []).append(word)
-            else:
-                hard.setdefault(name, []).append(word)
-        found = self.tokenizer.encode_batch_fast(list(hard), add_special_tokens=False) if hard else []
-        for names, ids in (*zip(hard.values(), [self._bytes(e.ids) for e in found]), *zip(easy.values(), self._merged(list(easy), PIECES))):
-            for word in names:
-                self.cache[word] = ids
-
-    def _merged(self, words: list[str], pieces: re.Pattern | None) -> list[bytes]:
-        """Ids of lower-case words of ``pieces``, or of one piece each."""
-        out: list[bytes] = []
-        width = self.kind.itemsize
-        for start in range(0, len(words), JOINED):
-            some = words[start : start + JOINED]
-            last = np.arange(len(some))
-            if pieces:
-                cut = [pieces.findall(w) for w in some]
-                last = np.cumsum([len(x) for x in cut]) - 1
-                some = [" ".join(x) for x in cut]
-            text = " ".join(some)
-            if not text.isascii():
-                text = text.encode().decode("latin-1").translate(self.letters)
-            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
-            last = (np.flatnonzero(self.ends[ids])[last] + 1) * width
-            data, before = ids.tobytes(), 0
-            if last[-1] != len(data):
-                raise ValueError("pieces and their last tokens differ in number")
-            for end in last.tolist():
-                out.append(data[before:end])
-                before = end
+    def _of(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Ids of the words that stand at these places of a text."""
+        if self.first.n > self.most:
+            self._begin()
+        # of a long word only a part is hashed
+        hashes = span_hashes(x[: 2 * LOOKED_UP], begin, np.minimum(end, begin + LOOKED_UP))
+        size, word = end - begin, x[~GAP[x]]
+        at = np.cumsum(size) - size
+        index = self._find(hashes)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            key, one, of = np.unique(hashes[new], return_index=True, return_inverse=True)
+            index[new] = of + self._learn(key, word, at[new[one]], size[new[one]])
+        differ = self.size[index] != size
+        if differ.any():
+            same = np.flatnonzero(~differ)
+            unlike = self.bytes[_spans(self.first[index[same]], size[same])] != word[_spans(at[same], size[same])]
+            differ[same[np.searchsorted(np.cumsum(size[same]), np.flatnonzero(unlike), "right")]] = True
+        else:
+            unlike = self.bytes[_spans(self.first[index], size)] != word
+            differ[np.searchsorted(at, np.flatnonzero(unlike), "right") - 1] = True
+        others: dict[bytes, int] = {}
+        for i in np.flatnonzero(differ).tolist():
+            name = word[at[i] : at[i] + size[i]].tobytes()
+            if name not in others:
+                others[name] = self._learn(None, word, at[i : i + 1], size[i : i + 1])
+            index[i] = others[name]
+        return self.ids[_spans(self.id_first[index], self.id_size[index])]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of words in the table by their hashes, -1 for those that aren't there."""
+        mask = len(self.slots) - 1
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        out = self.slots[slot].astype(np.int64)
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != hashes))
+        while len(left):
+            slot[left] = slot[left] + 1 & mask
+            out[left] = self.slots[slot[left]]
+            left = left[(out[left] >= 0) & (self.keys[out[left]] != hashes[left])]
         return out
 
+    def _put(self, keys: np.ndarray | None, word: np.ndarray, size: np.ndarray, ids: np.ndarray, id_first: np.ndarray, id_size: np.ndarray) -> int:
+        """Adds words with distinct keys that aren't there, or, without keys, words that won't be found; the place of
+        the first."""
+        n = self.first.n
+        self.first.add(np.cumsum(size) - size + self.bytes.n)
+        self.id_first.add(id_first + self.ids.n)
+        for column, x in ((self.keys, np.zeros(len(size), np.uint64) if keys is None else keys), (self.size, size), (self.id_size, id_size), (self.bytes, word), (self.ids, ids)):
+            column.add(x)
+        if keys is None:
+            return n
+        places = np.arange(n, n + len(size))
+        if 3 * self.first.n > len(self.slots):
+            self.slots = np.full(1 << (3 * self.first.n).bit_length(), -1, dtype=np.int32)
+            places = np.flatnonzero(self.keys[: self.first.n])
+        mask = len(self.slots) - 1
+        slot = (self.keys[places] & np.uint64(mask)).astype(np.int64)
+        while len(places):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = places[free]
+            left = self.slots[slot] != places
+            places, slot = places[left], slot[left] + 1 & mask
+        return n
+
+    def _learn(self, keys: np.ndarray | None, word: np.ndarray, at: np.ndarray, size: np.ndarray) -> int:
+        """Encodes words that stand at these places and puts them into the table."""
+        word = word[_spans(at, size)]
+        easy = _EASY[word]
+        # what follows a lead byte 0xC3 is a letter but for two signs
+        easy[1:] |= (word[:-1] == 0xC3) & (word[1:] != 0x97) & (word[1:] != 0xB7)
+        first = np.cumsum(size) - size
+        easy = np.add.reduceat(~easy, first, dtype=np.int64) == 0
+        counts = np.zeros(len(size), dtype=np.int64)
+        ids, counts[easy] = self._merged(_lower(word[np.repeat(easy, size)]), size[easy])
+        hard = np.flatnonzero(~easy)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([word[a:b].tobytes().decode() for a, b in zip(first[hard], first[hard] + size[hard])], add_special_tokens=False)] if len(hard) else []
+        counts[hard] = [len(e) for e in found]
+        id_first = np.zeros(len(size), dtype=np.int64)
+        order = np.concatenate((np.flatnonzero(easy), hard))
+        id_first[order] = np.cumsum(counts[order]) - counts[order]
+        ids = np.concatenate((ids, np.array([i for e in found for i in e], dtype=self.kind)))
+        return self._put(keys, word, size, ids, id_first, counts)
+
+    def _merged(self, word: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of letters, digits and signs, and their numbers."""
+        if not len(size):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        kind, first = _KIND[word], np.cumsum(size) - size
+        # a digit is a piece of its own
+        piece = np.diff(kind, prepend=0) != 0
+        piece |= kind == _DIGIT
+        piece[first] = True
+        before = np.cumsum(piece)
+        text = np.full(len(word) + int(before[-1]), 32, dtype=np.uint8)
+        text[np.arange(len(word)) + before] = word
+        cut = [*(first + before[first] - 1)[::JOINED].tolist(), len(text)]
+        out = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            some = text[a:b].tobytes().decode("latin-1")
+            if not some.isascii():
+                some = some.translate(self.letters)
+            out.append(np.array(self.model.encode_batch_fast([some], add_special_tokens=False)[0].ids, dtype=self.kind))
+        ids = np.concatenate(out)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != before[-1] or ends[-1] != len(ids):
+            raise ValueError("pieces and their last tokens differ in number")
+        return ids, np.diff(ends[before[first + size - 1] - 1], prepend=0)
+
+
+class _Grown:
+    """An array that more can be added to."""
+
+    def __init__(self, kind: np.dtype):
+        self.data, self.n = np.zeros(1 << 10, dtype=kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.data):
+            data = np.zeros(max(2 * len(self.data), self.n + len(x)), dtype=self.data.dtype)
+            data[: self.n] = self.data[: self.n]
+            self.data = data
+        self.data[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    def __getitem__(self, places):
+        return self.data[places]
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after another."""
+    stops = np.cumsum(size)
+    return np.repeat(first - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
+
 
 def _apart(joined: bytes) -> np.ndarray:
-    """The bytes with a blank before each comma or full stop between an ASCII or a common letter, or a digit, and white
-    space: no token holds both the letter and the sign."""
+    """The bytes with a blank before each sign after an ASCII or a common letter, or a digit: no token holds both."""
     x = np.frombuffer(joined, np.uint8)
-    sign = np.flatnonzero((x == 44) | (x == 46))
-    sign = sign[(sign > 1) & (sign < len(x) - 1)]
-    sign = sign[(x[sign + 1] == 32) | (x[sign + 1] == 10)]
+    sign = np.flatnonzero(_KIND[x] == _SIGN)
+    sign = sign[sign > 1]
     before, lead = x[sign - 1], x[sign - 2]
     # after the lead byte 0xC3 come the letters from 0xA0 on, but for one sign
     letter = _ALNUM[before] | ((lead == 0xC3) & (before >= 0xA0) & (before != 0xB7))
@@ -215,21 +306,21 @@ def _apart(joined: bytes) -> np.ndarray:
     return out
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The words of a text as places in the list of its distinct words, and that list."""
-    full = ~GAP[x]
-    edge = np.flatnonzero(full[1:] != full[:-1]) + 1
-    if full[0]:
-        edge = np.concatenate(([0], edge))
-    if full[-1]:
-        edge = np.concatenate((edge, [len(x)]))
-    offsets = np.concatenate(([0], np.cumsum(edge[1::2] - edge[::2]))).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(x[full])])
-    coded = words.dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+def _lower(x: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of Latin-1 brought to lower case."""
+    out = LOWER[x]
+    after = np.flatnonzero(x[:-1] == 0xC3) + 1
+    letter = x[after]
+    out[after[(letter <= 0x9E) & (letter != 0x97)]] += 32
+    return out
 
 
 _ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+_DIGIT, _SIGN = 2, 3
+#: White space and control characters, letters (any other byte of UTF-8 than ASCII, too), digits, signs.
+_KIND = np.array([1 if i >= 128 or chr(i).isalpha() else _DIGIT if chr(i).isdigit() else _SIGN if 32 < i < 127 else 0 for i in range(256)], dtype=np.int8)
+#: ASCII bytes of words that normalising only brings to lower case and whose pieces are found by kind alone; 0xC3 leads such letters.
+_EASY = np.array([32 < i < 127 and i != 39 or i == 0xC3 for i in range(256)])
 
 
 def cuts(ids: np.ndarray, counts: np.ndarray) -> tuple[list[int], np.ndarray]:

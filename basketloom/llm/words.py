@@ -51,6 +51,14 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def span_hashes(chars: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes."""
+    up, down = _POWERS.get(len(chars))
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((chars.astype(np.uint64) + _U(1)) * up)))
+        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 def word_hashes(texts: list[bytes], gap: np.ndarray = GAP, lower: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, one after another, and the number of words of each text."""
     joined = b" " + b" ".join(texts) + b" "
@@ -58,10 +66,7 @@ def word_hashes(texts: list[bytes], gap: np.ndarray = GAP, lower: np.ndarray = L
     is_gap = gap[chars]
     edge = np.flatnonzero(is_gap[1:] != is_gap[:-1]) + 1
     begin, end = edge[::2], edge[1::2]
-    up, down = _POWERS.get(len(chars))
-    with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((chars.astype(np.uint64) + _U(1)) * up)))
-        hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    hashes = span_hashes(chars, begin, end)
     stops = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.concatenate(([0], np.searchsorted(begin, stops))))
     return hashes, counts

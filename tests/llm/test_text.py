@@ -488,6 +488,34 @@ def test_words_are_encoded_as_by_the_library():
             assert got.tolist() == known, repr(text)
 
 
+def test_words_of_equal_hash_are_told_apart(monkeypatch):
+    whole = tokenstore.span_hashes
+    monkeypatch.setattr(tokenstore, "span_hashes", lambda *a: whole(*a) & np.uint64(31))
+    monkeypatch.setattr(tokenstore, "LOOKED_UP", 300)
+    t, words = Tokenizer.from_file(WORDS), tokenstore.Words(WORDS, most=2000)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abÉé1 \n.,'-") for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["x" * 700 + " " + "x" * 701, "<|endoftext|>"]
+    for start in range(0, len(texts), 50):
+        some = texts[start : start + 50]
+        ids, counts = words.encode([x.encode() for x in some])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids + [2] for e in t.encode_batch(some, add_special_tokens=False)]
+
+
+def test_words_alike_but_for_case_and_signs_are_encoded_once():
+    words = tokenstore.Words(WORDS)
+    seen, model = [], words.model
+
+    class Spy:
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(x for text in texts for x in text.split())
+            return model.encode_batch_fast(texts, **how)
+
+    words.model = Spy()
+    for text in ("école École### ÉCOLE!! école.*** École", "école? école$$$, cole", "ÉCOLE-1"):
+        words.encode([text.encode()])
+    assert len([x for x in seen if x.endswith("cole")]) == 2  # école, cole
+
+
 def test_store_of_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(5, "b"), (None, "c d"), (5, "a"), (5, "a"), (None, None)], "doc_id int, text string")
     path = util.Scratch(spark, "t").path("store")
