@@ -65,3 +65,32 @@ def test_sums_of_rows():
 def test_best_of_many_blocks_with_ties():
     score = np.array([[0.5, 0.9, 0.5, 0.5, -np.inf]])
     assert [x.tolist() for x in embed.top_of(score, np.array([[7, 1, 3, 5, 2]]), 3)] == [[[0.9, 0.5, 0.5]], [[1, 3, 5]]]
+
+
+def test_blocks_meet_for_several_epochs(spark, monkeypatch):
+    monkeypatch.setattr(skipgram, "LEAST_BLOCK", 4)
+    rounds, write = [], type(spark.range(1).write).parquet
+
+    def counted(self, path, *args, **options):
+        rounds.append("/state-" in path)
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", counted)
+    rows = [([(i * 5 + k * 7) % 13 for k in range(4)],) for i in range(60)]
+    assert embed.word2vec(spark.createDataFrame(rows, "items array<long>"), dim=4, window=2, min_count=1, epochs=12, partitions=3).count() == 13
+    assert sum(rounds) == 3 * 3
+
+
+@pytest.mark.parametrize("most", [0, 30, 500])
+def test_steps_hold_all_pairs(most):
+    rng = np.random.default_rng(1)
+    n, pairs = 40, 40 * most // 2
+    i, j = rng.integers(0, 20, pairs) if most < 500 else np.minimum(rng.integers(0, 400, pairs), 19), rng.integers(0, 30, pairs)
+    w = rng.random(pairs).astype(np.float32)
+    got = np.zeros((n, 30))
+    work = skipgram.dealt(i, j, w, n, rng)
+    for at, other, weight in work:
+        np.add.at(got, (np.repeat(at, other.shape[1]), other.ravel()), weight.ravel())
+    wanted = np.zeros((n, 30))
+    np.add.at(wanted, (i, j), w)
+    assert np.allclose(got, wanted, rtol=1e-4) and {*np.concatenate([x[0] for x in work])} == {*range(n)}
