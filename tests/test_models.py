@@ -94,3 +94,19 @@ def test_steps_hold_all_pairs(most):
     wanted = np.zeros((n, 30))
     np.add.at(wanted, (i, j), w)
     assert np.allclose(got, wanted, rtol=1e-4) and {*np.concatenate([x[0] for x in work])} == {*range(n)}
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_search_leaves_out_what_is_not_finite(spark, monkeypatch, small):
+    monkeypatch.setattr(embed, "SMALL_ANCHORS", small, raising=False)
+    rng = np.random.default_rng(2)
+    # equal vectors, so that ties go by id; the last ones are null, zero or not finite
+    v = np.round(rng.standard_normal((90, 3)))[rng.integers(0, 60, 150)]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(150, [float("nan"), 1.0, 0.0]), (151, [float("inf"), 1.0, 1.0]), (152, None), (153, [0.0, 0.0, 0.0]), (154, [None, 1.0, 1.0])]
+    table = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = embed.cosine_top_k(table.where("id % 5 = 0"), table, 7, positive=False, block=20).collect()
+    length = np.linalg.norm(v, axis=1)
+    known = np.flatnonzero(length > 0)
+    score = np.round((v @ v.T) / np.maximum(length, 1e-9)[:, None] / np.maximum(length, 1e-9), 6)
+    wanted = {(a, b, r + 1) for a in known if a % 5 == 0 for r, b in enumerate(sorted((b for b in known if b != a), key=lambda b: (-score[a, b], b))[:7])}
+    assert {(r.a, r.b, r.rank) for r in got} == wanted and all(abs(score[r.a, r.b] - r.score) < 1e-9 for r in got)
