@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,16 @@ def test_search_leaves_out_what_is_not_finite(spark, monkeypatch, small):
     score = np.round((v @ v.T) / np.maximum(length, 1e-9)[:, None] / np.maximum(length, 1e-9), 6)
     wanted = {(a, b, r + 1) for a in known if a % 5 == 0 for r, b in enumerate(sorted((b for b in known if b != a), key=lambda b: (-score[a, b], b))[:7])}
     assert {(r.a, r.b, r.rank) for r in got} == wanted and all(abs(score[r.a, r.b] - r.score) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("held", [3, 1 << 21])
+def test_pairs_are_packed_by_blocks(monkeypatch, held):
+    monkeypatch.setattr(skipgram, "HELD", held, raising=False)
+    lists = [[5, 9, 5, 12], [9, 5], [], [12, 12, 3_000_007]]
+    got, blocks, packs = {}, 3, 2
+    for batch in skipgram._pairs(2, blocks, packs, 42)(iter([pa.RecordBatch.from_pydict({"items": pa.array(lists, pa.list_(pa.int64()))})])):
+        for x, y, data in zip(*(batch[c].to_pylist() for c in ("x", "y", "data"))):
+            for a, b, w in np.frombuffer(data, np.int64).reshape(3, -1).T:
+                assert (x, y) == (skipgram._block(a, blocks, 42), skipgram._block(b, blocks, 42))
+                got[a, b] = got.get((a, b), 0) + w
+    assert got == {(5, 9): 6, (5, 12): 2, (9, 12): 1, (12, 3_000_007): 3}
